@@ -184,7 +184,7 @@ def impute_median(df: DataFrame, cols: list[str], fit_on: DataFrame | None = Non
     """
     medians = percentile_row(fit_on if fit_on is not None else df, {c: C.finite(F.col(f"`{c}`")) for c in cols}, [0.5])
     return df.withColumns({
-        c: F.coalesce(C.finite(F.col(f"`{c}`")), medians[c][0], F.lit(0.0)) for c in cols
+        c: F.coalesce(C.finite(F.col(f"`{c}`")), F.lit(medians[c][0]), F.lit(0.0)) for c in cols
     })
 
 
@@ -195,7 +195,7 @@ def repair_overflow(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return df
     medians = percentile_row(df, {c: F.when(F.col(f"`{c}`") >= 0, C.finite(F.col(f"`{c}`"))) for c in cols}, [0.5])
     return df.withColumns({
-        c: F.when(F.col(f"`{c}`") < 0, medians[c][0]).otherwise(F.col(f"`{c}`").cast("double")) for c in cols
+        c: F.when(F.col(f"`{c}`") < 0, F.lit(medians[c][0])).otherwise(F.col(f"`{c}`").cast("double")) for c in cols
     })
 
 
