@@ -178,8 +178,8 @@ def _(spark, d):
 
 
 def _profile_sql(c: str) -> str:
-    return f"""SELECT '{c}' AS feature, 'double' AS datatype, u AS unique_values, mn AS min, mx AS max, round(m, 6) AS mean, md AS median, round(s, 6) AS std,
-  mi AS missing_count, inf AS infinite_count, round(z, 6) AS zero_percentage, s = 0 OR u <= 1 AS is_constant,
+    return f"""SELECT '{c}' AS feature, 'double' AS datatype, u AS unique_values, mn AS min, mx AS max, round(m, 9) AS mean, md AS median, round(s, 6) AS std,
+  mi AS missing_count, inf AS infinite_count, round(z, 9) AS zero_percentage, s = 0 OR u <= 1 AS is_constant,
   round(avg(pow(x - m, 3)) / pow(any_value(sp), 3), 4) AS skewness, abs(avg(pow(x - m, 3)) / pow(any_value(sp), 3)) > 3.0 AS is_skewed, mx > m + 5.0 * s AS has_outliers
 FROM (SELECT {c}::DOUBLE AS x FROM imputed), (SELECT count(DISTINCT {c}) AS u, min({c}) AS mn, max({c}) AS mx, avg({c}) AS m, median({c}) AS md, stddev_samp({c}) AS s,
   stddev_pop({c}) AS sp, count(*) FILTER (WHERE {c} = 0)::DOUBLE / count(*) * 100 AS z FROM imputed),
@@ -190,7 +190,7 @@ GROUP BY u, mn, mx, m, md, s, mi, inf, z"""
 @query("a11_feature_profile", S.with_(IMPUTED, "\nUNION ALL ".join(_profile_sql(c) for c in L)))
 def _(spark, d):
     out = ST.feature_profile(imputed(spark, d), L, raw=V.labelled(spark, d))
-    return round_to(round_to(out, 6, "mean", "std", "zero_percentage"), 4, "skewness")
+    return round_to(round_to(round_to(out, 9, "mean", "zero_percentage"), 6, "std"), 4, "skewness")
 
 
 @query("a12_dataset_summary", S.with_(S.LABELLED, "SELECT count(*) AS total_samples_raw, (SELECT count(*) FROM (SELECT DISTINCT * FROM labelled)) AS total_samples_cleaned, "
@@ -263,9 +263,9 @@ def _(spark, d):
 
 
 @query("a21_class_means_melted", S.with_(S.LABELLED, "\nUNION ALL ".join(
-    f"SELECT CASE {ATTACK} WHEN 1 THEN 'ATTACK' ELSE 'BENIGN' END AS Is_Attack, '{c}' AS Feature, round(avg({finite(c)}), 6) AS Mean_Value FROM labelled GROUP BY 1" for c in L[:4])))
+    f"SELECT CASE {ATTACK} WHEN 1 THEN 'ATTACK' ELSE 'BENIGN' END AS Is_Attack, '{c}' AS Feature, round(avg({finite(c)}), 9) AS Mean_Value FROM labelled GROUP BY 1" for c in L[:4])))
 def _(spark, d):
-    return round_to(ST.class_means(V.labelled(spark, d), L[:4]), 6, "Mean_Value")
+    return round_to(ST.class_means(V.labelled(spark, d), L[:4]), 9, "Mean_Value")
 
 
 THRESHOLDS = S.FLOWS + """,

@@ -17,9 +17,10 @@ from __future__ import annotations
 import itertools
 import math
 
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowquarry.operators.forest import principal_axes
 from flowquarry.operators.ordered import numbered
 from flowquarry.session import cut_lineage
 
@@ -46,55 +47,58 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     raise RuntimeError("component search did not settle")
 
 
-def _grid(points: DataFrame, axes: int, eps: float) -> DataFrame:
-    return points.withColumns({f"_g{a}": F.floor(F.col(f"PCA{a + 1}") / eps).cast("bigint") for a in range(axes)})
+def _apart(left: str, right: str) -> Column:
+    """Squared distance of two coordinate arrays."""
+    return F.aggregate(F.zip_with(left, right, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, term: total + term)
 
 
 def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.8, min_points: int = 5, name: str = "DBSCAN_Cluster",
-           max_axes: int = 6, cell_limit: int = 10_000) -> DataFrame:
-    """Cluster number per row, -1 for noise. Border points go to their lowest-numbered cluster."""
+           max_axes: int = 6, cell_limit: int = 2_000) -> DataFrame:
+    """Cluster number per row, -1 for noise. Border points go to their lowest-numbered cluster.
+
+    Coordinates travel as one array column: with one column per coordinate the optimizer
+    derives far too many equivalent predicates for the joins below.
+    """
     d = len(cols)
-    x = [f"_x{i}" for i in range(d)]
-    plain = df.withColumns({n: F.col(f"`{c}`").cast("double") + 0.0 for c, n in zip(cols, x)})
-    folded = plain.groupBy(*x).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("w"))
+    plain = df.withColumn("_x", F.array(*[F.col(f"`{c}`").cast("double") + 0.0 for c in cols]))
+    folded = plain.groupBy("_x").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("w"))
     points = cut_lineage(numbered(folded, [F.col("_first")], "id"))
 
+    matrix = points.withColumn("_v", array_to_vector("_x"))
+    projected = PCA(k=min(max_axes, d), inputCol="_v", outputCol="_p").fit(matrix).transform(matrix)
     side = eps / math.sqrt(d) * (1.0 - 1e-9)
-    micro = F.array(*[F.floor(F.col(n) / side) for n in x])
-    projected, _ = principal_axes(points.withColumn("micro", micro), x, min(max_axes, d))
-    projected = cut_lineage(projected)
-    axes = 0
-    largest = None
-    while axes < min(max_axes, d) and (largest is None or largest > cell_limit):
+    placed = cut_lineage(projected.select(
+        "id", "w", "_x", F.transform("_x", lambda c: F.floor(c / side)).alias("micro"),
+        F.transform(vector_to_array("_p"), lambda c: F.floor(c / eps)).alias("_g"),
+    ))
+
+    # Axes are added while some grid cell is crowded; one count per step.
+    axes = 1
+    while axes < min(max_axes, d):
+        crowd = placed.groupBy(F.slice("_g", 1, axes).alias("c")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if crowd is None or crowd <= cell_limit:
+            break
         axes += 1
-        grid = _grid(projected, axes, eps)
-        largest = grid.groupBy(*[f"_g{a}" for a in range(axes)]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    grid = _grid(projected, axes, eps)
-    cells = [f"_g{a}" for a in range(axes)]
 
-    micro_weight = grid.groupBy("micro").agg(F.sum("w").alias("_mw"))
-    members = cut_lineage(grid.join(micro_weight, "micro"))
+    micro_weight = placed.groupBy("micro").agg(F.sum("w").alias("_mw"))
+    members = cut_lineage(placed.join(micro_weight, "micro").withColumn("_g", F.slice("_g", 1, axes)))
 
     # Every unordered pair once: the left side visits the half of the neighbour offsets.
     offsets = [o for o in itertools.product((-1, 0, 1), repeat=axes) if o >= (0,) * axes]
-    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in enumerate(o)]) for o in offsets]))
-    left = members.select("id", "micro", "w", *cells, *x).withColumn("_o", moves)
-    left = left.select(
-        F.col("id").alias("a"), F.col("micro").alias("micro_a"), F.col("w").alias("wa"), *[F.col(n).alias(f"l{n}") for n in x],
-        *[(F.col(c) + F.col(f"_o.o{i}")).alias(c) for i, c in enumerate(cells)],
-        (sum((F.abs(F.col(f"_o.o{i}")) for i in range(axes)), F.lit(0)) == 0).alias("_same_cell"),
+    move = F.explode(F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets]))
+    left = members.withColumn("_o", move).select(
+        F.col("id").alias("a"), F.col("micro").alias("micro_a"), F.col("w").alias("wa"), F.col("_x").alias("xa"),
+        F.zip_with("_g", "_o", lambda g, o: g + o).alias("cell"), F.forall("_o", lambda o: o == 0).alias("same_cell"),
     )
-    right = members.select(F.col("id").alias("b"), F.col("micro").alias("micro_b"), F.col("w").alias("wb"), *cells, *x)
-    squared: Column = sum(((F.col(f"l{n}") - F.col(n)) * (F.col(f"l{n}") - F.col(n)) for n in x), F.lit(0.0))
-    near = left.join(right, cells).filter(
-        (F.col("micro_a") != F.col("micro_b")) & (~F.col("_same_cell") | (F.col("a") < F.col("b"))) & (squared <= eps * eps)
-    ).select("a", "b", "wa", "wb")
-    near = cut_lineage(near)
+    right = members.select(F.col("id").alias("b"), F.col("micro").alias("micro_b"), F.col("w").alias("wb"), F.col("_x").alias("xb"), F.col("_g").alias("cell"))
+    near = cut_lineage(left.join(right, "cell").filter(
+        (F.col("micro_a") != F.col("micro_b")) & (~F.col("same_cell") | (F.col("a") < F.col("b"))) & (_apart("xa", "xb") <= eps * eps)
+    ).select("a", "b", "wa", "wb"))
 
     outside = near.select(F.col("a").alias("id"), F.col("wb").alias("n")).unionByName(near.select(F.col("b").alias("id"), F.col("wa").alias("n")))
     outside = outside.groupBy("id").agg(F.sum("n").alias("_out"))
-    judged = cut_lineage(members.select("id", "micro", "_mw").join(outside, "id", "left").withColumn(
-        "core", F.col("_mw") + F.coalesce("_out", F.lit(0)) >= min_points
+    judged = cut_lineage(members.select("id", "micro", "_mw").join(outside, "id", "left").select(
+        "id", "micro", (F.col("_mw") + F.coalesce("_out", F.lit(0)) >= min_points).alias("core")
     ))
 
     core = judged.filter("core").select("id", "micro")
@@ -109,11 +113,10 @@ def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.8, min_point
 
     loose = judged.filter(~F.col("core"))
     touching = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_pair = touching.join(core_cluster, touching.b == core_cluster.id).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("c1"))
+    by_pair = touching.join(core_cluster.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("c1"))
     by_cell = core_cluster.join(core, "id").groupBy("micro").agg(F.min("cluster").alias("c2"))
     border = loose.join(by_pair, "id", "left").join(by_cell, "micro", "left").select(
         "id", F.coalesce(F.least("c1", "c2"), F.lit(-1)).alias("cluster")
     )
     point_cluster = core_cluster.unionByName(border)
-    numbered_points = points.join(point_cluster, "id").select(*x, F.col("cluster").alias(name))
-    return plain.join(numbered_points, x).drop(*x)
+    return plain.join(points.join(point_cluster, "id").select("_x", F.col("cluster").alias(name)), "_x").drop("_x")

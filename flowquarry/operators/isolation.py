@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from flowquarry.operators.quantiles import percentile_row
 from flowquarry.operators.selection import hash_sample
@@ -20,6 +21,10 @@ from flowquarry.session import cut_lineage
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
 
+def _with_double(df: DataFrame, name: str) -> StructType:
+    return StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+
 def average_path(n: int) -> float:
     """Average depth of an unsuccessful search in a binary tree of n rows."""
     if n <= 1:
@@ -98,8 +103,7 @@ def isolation_scores(df: DataFrame, nodes: DataFrame, cols: list[str], rows: int
                 total += tree[at, 4]
             yield batch.assign(**{name: np.power(2.0, -total / max(1, len(forest)) / norm)})
 
-    schema = df.schema.add(name, "double")
-    return df.mapInPandas(add_score, schema)
+    return df.mapInPandas(add_score, _with_double(df, name))
 
 
 def isolation_forest(df: DataFrame, cols: list[str], keys: list[str], trees: int = 100, rows: int = 256,
@@ -164,7 +168,7 @@ def one_class_svm(df: DataFrame, cols: list[str], keys: list[str], nu: float = 0
         for batch in batches:
             yield batch.assign(_score=lifted(batch) @ w)
 
-    fitted = cut_lineage(sample.mapInPandas(add_score, sample.schema.add("_score", "double")))
+    fitted = cut_lineage(sample.mapInPandas(add_score, _with_double(sample, "_score")))
     offset = percentile_row(fitted, {"s": F.col("_score")}, [nu])["s"][0]
-    scored = df.mapInPandas(add_score, df.schema.add("_score", "double"))
+    scored = df.mapInPandas(add_score, _with_double(df, "_score"))
     return scored.withColumn(name, F.when(F.col("_score") < offset, -1).otherwise(1)).drop("_score")
