@@ -59,7 +59,8 @@ def _(spark, d):
 
 
 def _split(spark, d):
-    rows = imputed(spark, d).withColumn("label", C.is_attack(F.col("Label")).cast("double")).withColumnRenamed("Label", "Original_Label")
+    rows = imputed(spark, d).withColumnRenamed("Label", "Original_Label")
+    rows = rows.withColumn("label", C.is_attack(F.col("Original_Label")).cast("double"))
     return stored(spark, d, "split", lambda: EV.stratified_split(rows, "label", ["l_orderkey", "l_linenumber", *L]))
 
 
@@ -158,8 +159,9 @@ def _(spark, d):
 SELECT ip1 AS Canonical_IP1, ip2 AS Canonical_IP2, CAST(p1 AS VARCHAR) AS Canonical_Port1, CAST(p2 AS VARCHAR) AS Canonical_Port2, Protocol, sub AS Subflow_ID, count(*) AS Total_Packets,
        sum(Length)::BIGINT AS Total_Bytes, sum(Is_Forward)::BIGINT AS Forward_Packets, min(Time_ns) AS start_ns, max(Time_ns) AS end_ns,
        sum(iat_ns)::DOUBLE / count(*)::DOUBLE / 1e9 AS Mean_IAT, max(iat_ns)::DOUBLE / 1e9 AS Max_IAT
-FROM traced t JOIN (SELECT ip1 AS a, ip2 AS b, p1 AS c, p2 AS e, Protocol AS g, sub AS h, lead(min(Time_ns)) OVER (PARTITION BY ip1, ip2, p1, p2, Protocol ORDER BY sub) AS next_start
-  FROM traced GROUP BY ALL) n ON ip1 = a AND ip2 = b AND p1 = c AND p2 = e AND Protocol = g AND sub = h
+FROM traced JOIN (SELECT *, lead(first_ns) OVER (PARTITION BY a, b, c, e, g ORDER BY h) AS next_start FROM (
+  SELECT ip1 AS a, ip2 AS b, p1 AS c, p2 AS e, Protocol AS g, sub AS h, min(Time_ns) AS first_ns FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub))
+  ON ip1 = a AND ip2 = b AND p1 = c AND p2 = e AND Protocol = g AND sub = h
 GROUP BY ip1, ip2, p1, p2, Protocol, sub
 HAVING max(Time_ns) + 120000000000 < ({STREAM_END}) * 1000000 OR any_value(next_start) <= ({STREAM_END}) * 1000000"""))
 def _(spark, d):

@@ -46,11 +46,10 @@ def train_forest(train: DataFrame, cols: list[str], label: str = "label", trees:
 def score(model: PipelineModel, df: DataFrame, cols: list[str]) -> DataFrame:
     """Verdict, label and attack probability per row."""
     helpers = [c for c in (f"_s{i}" for i in range(len(cols)))]
-    out = model.transform(df).withColumn("Attack_Probability", F.get(vector_to_array("probability"), 1))
-    return out.withColumns({
-        "Prediction_Label": F.col("prediction").cast("int"),
-        "Prediction": F.when(F.col("prediction") == 1, "ATTACK").otherwise("BENIGN"),
+    out = model.transform(df).withColumns({
+        "Attack_Probability": F.get(vector_to_array("probability"), 1), "Prediction_Label": F.col("prediction").cast("int"),
     }).drop("features", "rawPrediction", "probability", "prediction", *helpers)
+    return out.withColumn("Prediction", F.when(F.col("Prediction_Label") == 1, "ATTACK").otherwise("BENIGN"))
 
 
 def importances(model: PipelineModel, cols: list[str]) -> DataFrame:
