@@ -51,11 +51,9 @@ def seconds(nanos: Column) -> Column:
 
 def time_ns(text: Column) -> Column:
     """Seconds as text, up to nine decimals, to whole nanoseconds; NULL when unusable."""
-    clean = stripped(text.cast("string"))
-    value = clean.try_cast("double")
-    usable = value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < 9.0e9)
-    exact = clean.try_cast("decimal(28,9)") * F.lit(NANOS).cast("decimal(10,0)")
-    return F.when(usable, exact.cast("bigint"))
+    exact = stripped(text.cast("string")).try_cast("decimal(28,9)") * F.lit(NANOS).cast("decimal(10,0)")
+    nanos = exact.try_cast("bigint")
+    return F.when(nanos >= 0, nanos)
 
 
 def protocol_name(col: Column) -> Column:

@@ -64,12 +64,17 @@ def drop_exact_duplicates(df: DataFrame, subset: list[str] | None = None) -> Dat
     return df.dropDuplicates(subset) if subset else df.dropDuplicates()
 
 
-def _judged(df: DataFrame) -> DataFrame:
-    """Add the typed time and length and the first rule each row breaks, if any."""
-    length = C.number(F.col("Length"))
-    keep_length = (length > 0) & (length <= fixed.MAX_PACKET_LENGTH)
+def _typed(df: DataFrame) -> DataFrame:
+    """Add the usable time and length; NULL where the row breaks the rule."""
     time = F.col("Time_ns") if "Time_ns" in df.columns else C.time_ns(F.col("Time"))
-    return df.withColumn("_t", time).withColumn("_l", F.when(keep_length, length.cast("int"))).withColumn(
+    rows = df.withColumns({"_t": time, "_l": C.number(F.col("Length"))})
+    keep = (F.col("_l") > 0) & (F.col("_l") <= fixed.MAX_PACKET_LENGTH)
+    return rows.withColumn("_l", F.when(keep, F.col("_l").cast("int")))
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    """Add the first rule each row breaks, if any."""
+    return _typed(df).withColumn(
         "reject_reason",
         F.when(F.col("_t").isNull() | (F.col("_t") < 0), F.lit("malformed_time"))
         .when(F.col("_l").isNull(), F.lit("impossible_length"))
@@ -107,7 +112,7 @@ def clean_packets(raw: DataFrame, deduplicate: bool = True, subset: list[str] |
     """
     require_columns(raw, fixed.REQUIRED_COLUMNS, "packet table")
     rows = drop_exact_duplicates(raw, subset) if deduplicate else raw
-    return _normalised(_judged(rows).filter(F.col("reject_reason") == "kept"))
+    return _normalised(_typed(rows).filter((F.col("_t") >= 0) & F.col("_l").isNotNull()))
 
 
 def clean_packets_lenient(raw: DataFrame) -> DataFrame:

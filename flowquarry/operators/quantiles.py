@@ -46,19 +46,30 @@ def _usable(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def _code_counts(df: DataFrame, coded: list[tuple[int, Column, Column, Column]]) -> list:
-    """Counts, minima and maxima per (slot, code). ``coded`` holds slot, value, condition, code."""
-    # Value columns are computed once, then every slot refers to them by name.
+def _counted(cells: DataFrame) -> list:
+    """Counts, minima and maxima per (slot, code) of a (slot, code, value) view."""
+    return cells.groupBy("slot", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    ).collect()
+
+
+def _first_counts(values: DataFrame, slots: int) -> list:
+    view = values.unpivot([], [f"v{i}" for i in range(slots)], "slot", "value").filter(_usable(F.col("value")))
+    return _counted(view.withColumn("code", _log_code(F.col("value"))))
+
+
+def _bracket_counts(values: DataFrame, coded: list[tuple[int, Column, Column, Column]]) -> list:
+    """``coded`` holds slot, value, condition and code. Rows outside all brackets, nearly all of
+    them, are dropped before anything is built per row."""
+    anywhere = coded[0][2]
+    for _, _, condition, _ in coded[1:]:
+        anywhere = anywhere | condition
     cells = F.array(*[
-        F.when(condition, F.struct(F.lit(slot).alias("slot"), code.alias("code"), value.alias("value")))
+        F.when(condition, F.struct(F.lit(str(slot)).alias("slot"), code.alias("code"), value.alias("value")))
         for slot, value, condition, code in coded
     ])
-    return (
-        df.select(F.explode(cells).alias("c")).filter(F.col("c").isNotNull())
-        .groupBy("c.slot", "c.code")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("c.value").alias("lo"), F.max("c.value").alias("hi"))
-        .collect()
-    )
+    near = values.filter(anywhere).select(F.explode(cells).alias("c")).filter(F.col("c").isNotNull())
+    return _counted(near.select("c.slot", "c.code", "c.value"))
 
 
 def _narrow(rows: list, bracket: _Bracket) -> _Bracket:
@@ -81,12 +92,9 @@ def percentile_row(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     names = list(exprs)
     values = df.select(*[exprs[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
 
-    first = _code_counts(values, [
-        (i, F.col(f"v{i}"), _usable(F.col(f"v{i}")), _log_code(F.col(f"v{i}"))) for i in range(len(names))
-    ])
     per_slot: dict[int, list] = {}
-    for row in first:
-        per_slot.setdefault(row["slot"], []).append(row)
+    for row in _first_counts(values, len(names)):
+        per_slot.setdefault(int(row["slot"][1:]), []).append(row)
 
     totals = {n: sum(r["n"] for r in per_slot.get(i, [])) for i, n in enumerate(names)}
     brackets: dict[tuple[str, int], _Bracket] = {}
@@ -123,8 +131,8 @@ def percentile_row(df: DataFrame, exprs: dict[str, Column], probs: list[float],
                 code = F.least(F.floor(share * steps), F.lit(steps - 1)).cast("double")
             coded.append((slot, value, inside, code))
         by_slot: dict[int, list] = {}
-        for row in _code_counts(values, coded):
-            by_slot.setdefault(row["slot"], []).append(row)
+        for row in _bracket_counts(values, coded):
+            by_slot.setdefault(int(row["slot"]), []).append(row)
         for slot, key in enumerate(slots):
             for b in open_brackets[key]:
                 brackets[(b.feature, b.rank)] = _narrow(by_slot[slot], b)
