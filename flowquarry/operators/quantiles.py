@@ -58,18 +58,31 @@ def _first_counts(values: DataFrame, slots: int) -> list:
     return _counted(view.withColumn("code", _log_code(F.col("value"))))
 
 
-def _bracket_counts(values: DataFrame, coded: list[tuple[int, Column, Column, Column]]) -> list:
-    """``coded`` holds slot, value, condition and code. Rows outside all brackets, nearly all of
-    them, are dropped before anything is built per row."""
-    anywhere = coded[0][2]
-    for _, _, condition, _ in coded[1:]:
-        anywhere = anywhere | condition
-    cells = F.array(*[
-        F.when(condition, F.struct(F.lit(str(slot)).alias("slot"), code.alias("code"), value.alias("value")))
-        for slot, value, condition, code in coded
-    ])
-    near = values.filter(anywhere).select(F.explode(cells).alias("c")).filter(F.col("c").isNotNull())
-    return _counted(near.select("c.slot", "c.code", "c.value"))
+def _bracket_counts(values: DataFrame, slots: int, brackets: list[tuple[int, float, float, bool]], steps: int) -> list:
+    """Counts inside each (slot, low, high, every value) bracket; brackets of a slot are disjoint.
+
+    Works on the long (slot, value) view. A filter over all columns at once would be one
+    predicate with many aliased columns, for which the optimizer derives 2^columns variants.
+    """
+    view = values.unpivot([], [f"v{i}" for i in range(slots)], "slot", "value")
+    value, number = F.col("value"), None
+    for slot in sorted({b[0] for b in brackets}):
+        inside = None
+        for i, (owner, low, high, _) in enumerate(brackets):
+            if owner == slot:
+                test = (value >= low) & (value <= high)
+                inside = F.when(test, F.lit(i)) if inside is None else inside.when(test, F.lit(i))
+        mine = F.col("slot") == f"v{slot}"
+        number = F.when(mine, inside) if number is None else number.when(mine, inside)
+    lows = F.array(*[F.lit(low) for _, low, _, _ in brackets])
+    widths = F.array(*[F.lit((high / 2 - low / 2) * 2) for _, low, high, _ in brackets])
+    single = F.array(*[F.lit(every) for _, _, _, every in brackets])
+    share = (value - F.get(lows, F.col("bracket"))) / F.get(widths, F.col("bracket"))
+    step = F.least(F.floor(share * steps), F.lit(steps - 1)).cast("double")
+    near = view.withColumn("bracket", number).filter(F.col("bracket").isNotNull())
+    return _counted(near.select(
+        F.col("bracket").alias("slot"), F.when(F.get(single, F.col("bracket")), value).otherwise(step).alias("code"), "value"
+    ))
 
 
 def _narrow(rows: list, bracket: _Bracket) -> _Bracket:
@@ -119,20 +132,10 @@ def percentile_row(df: DataFrame, exprs: dict[str, Column], probs: list[float],
             break
         slots = list(open_brackets)
         steps = max(64, min(LINEAR_BUCKETS, PASS_BUCKETS // len(slots)))
-        coded = []
-        for slot, (feature, low, high) in enumerate(slots):
-            value = F.col(f"v{names.index(feature)}")
-            inside = (value >= low) & (value <= high)
-            if open_brackets[slots[slot]][0].inside <= FINAL_VALUES:
-                code = value  # few enough values left: count each of them
-            else:
-                width = (F.lit(high) / 2 - F.lit(low) / 2) * 2
-                share = (value - F.lit(low)) / width
-                code = F.least(F.floor(share * steps), F.lit(steps - 1)).cast("double")
-            coded.append((slot, value, inside, code))
+        wanted = [(names.index(feature), low, high, open_brackets[(feature, low, high)][0].inside <= FINAL_VALUES) for feature, low, high in slots]
         by_slot: dict[int, list] = {}
-        for row in _bracket_counts(values, coded):
-            by_slot.setdefault(int(row["slot"]), []).append(row)
+        for row in _bracket_counts(values, len(names), wanted, steps):
+            by_slot.setdefault(row["slot"], []).append(row)
         for slot, key in enumerate(slots):
             for b in open_brackets[key]:
                 brackets[(b.feature, b.rank)] = _narrow(by_slot[slot], b)

@@ -3,7 +3,6 @@ one small aggregation serves any number of columns and combines map-side."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,35 +144,36 @@ def moments(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> Da
 
 
 def correlations(df: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
-    """Pearson correlation of every pair of columns i < j that vary.
+    """Pearson correlation of every pair of columns i < j that vary, over the rows that have both.
 
-    Means first, then every task sums the centred products of its own rows in one matrix and
-    emits that matrix once; rows never meet each other.
+    Every task sums the products of its own rows, shifted by the column means, in a few
+    matrices and emits them once; rows never meet each other.
     """
-    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).na.drop()
-    first = wide.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(cols))]).first()
-    means = np.array([math.nan if first[i] is None else first[i] for i in range(len(cols))])
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = wide.agg(*[F.avg(C.finite(F.col(f"c{i}"))).alias(f"m{i}") for i in range(len(cols))]).first()
+    means = np.array([0.0 if first[i] is None else first[i] for i in range(len(cols))])
+    kinds = ["s", "si", "sj", "n", "qi", "qj"]
 
-    def centred_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(means), len(means)))
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(kinds), len(means), len(means)))
         for batch in batches:
             x = batch.to_numpy(dtype=float) - means
-            total += x.T @ x
-        i, j = np.triu_indices(len(means))
-        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
-
-    sums = wide.mapInPandas(centred_products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    spread = sums.filter("i = j").select(F.col("i").alias("k"), F.col("s").alias("ss"))
+            there = np.isfinite(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([x.T @ x, x.T @ m, m.T @ x, m.T @ m, (x * x).T @ m, m.T @ (x * x)])
+        i, j = np.triu_indices(len(means), 1)
+        yield pd.DataFrame({"i": i, "j": j, **{k: total[n, i, j] for n, k in enumerate(kinds)}})
+
+    schema = "i int, j int, " + ", ".join(f"{k} double" for k in kinds)
+    sums = wide.mapInPandas(products, schema).groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in kinds])
+    spread_i = F.col("qi") - F.col("si") * F.col("si") / F.col("n")
+    spread_j = F.col("qj") - F.col("sj") * F.col("sj") / F.col("n")
+    corr = (F.col("s") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(spread_i) / F.sqrt(spread_j)
     names = F.array(*[F.lit(c) for c in cols])
-    # columns x columns rows at most, so these joins are small whatever the table holds
-    paired = (
-        sums.filter("i < j")
-        .join(spread.select(F.col("k").alias("i"), F.col("ss").alias("ssi")), "i")
-        .join(spread.select(F.col("k").alias("j"), F.col("ss").alias("ssj")), "j")
-        .filter((F.col("ssi") > 0) & (F.col("ssj") > 0))
-    )
-    corr = F.col("s") / F.sqrt(F.col("ssi")) / F.sqrt(F.col("ssj"))
-    return paired.select(
+    # what rounding alone can leave of a constant column
+    noise = F.array(*[F.lit((1e-13 * abs(m)) ** 2) for m in means.tolist()])
+    varies = (spread_i > F.get(noise, F.col("i")) * F.col("n")) & (spread_j > F.get(noise, F.col("j")) * F.col("n"))
+    return sums.filter(F.col("n") > 1).filter(varies).select(
         F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
         (corr if digits is None else F.round(corr, digits)).alias("correlation"),
     )
