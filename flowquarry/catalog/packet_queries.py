@@ -158,6 +158,15 @@ def _(spark, d):
     return spark.read.schema("FlowID string, Total_Packets bigint").json(path)
 
 
+@query("c02_c19_required_columns", "SELECT 'Info' AS missing_recommended, 0::BIGINT AS missing_features, count(*) AS packets FROM events")
+def _(spark, d):
+    rows = cleaning.require_columns(V.packets(spark, d).drop("Info").withColumn("Time", C.seconds(F.col("Time_ns"))), fixed.REQUIRED_COLUMNS)
+    flows32 = cleaning.require_columns(FL.flow32(V.feature_packets(spark, d)), fixed.FLOW32_FEATURES)
+    absent = len([c for c in fixed.FLOW32_FEATURES if c not in flows32.columns])
+    return rows.agg(F.lit(",".join(cleaning.missing_recommended(rows))).alias("missing_recommended"),
+                    F.lit(absent).cast("bigint").alias("missing_features"), F.count(F.lit(1)).alias("packets"))
+
+
 # --- cleaning --------------------------------------------------------------------------
 @query("c01_header_aliases", S.with_(CLEAN, 'SELECT "No." AS Frame_Number, Source, Length FROM raw_rows'))
 def _(spark, d):

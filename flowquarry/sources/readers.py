@@ -44,7 +44,7 @@ def detect_encoding(spark: SparkSession, path: str | Sequence[str]) -> str:
 
     The filter runs over all lines and stops at the first hit.
     """
-    bad = _lines(spark, path).filter(F.col("value").contains("\ufffd")).take(1)
+    bad = _lines(spark, path).filter(~F.is_valid_utf8("value")).take(1)
     return "ISO-8859-1" if bad else "UTF-8"
 
 
