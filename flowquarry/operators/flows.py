@@ -102,7 +102,10 @@ def trace_packets(packets: DataFrame, options: FlowOptions = FlowOptions(), keep
         rows = rows.withColumn("_dir_lag", F.lag("Time_ns").over(same))
     joined = rows.join(table, KEY + ["_cell"])
     across = F.col("_prev_end") if keep_gap else F.when(F.col("_split") == 0, F.col("_prev_end"))
-    out = joined.withColumn("IAT_ns", F.coalesce(F.col("Time_ns") - F.coalesce(F.col("_lag"), across), F.lit(0)))
+    opens = F.col("_lag").isNull() & (F.col("_prev_end").isNull() | (F.col("_split") == 1))
+    out = joined.withColumns({
+        "IAT_ns": F.coalesce(F.col("Time_ns") - F.coalesce(F.col("_lag"), across), F.lit(0)), "_opens_flow": opens,
+    })
     if directional:
         earlier = F.coalesce(F.col("_dir_lag"), F.when(F.col("Is_Forward") == 1, F.col("_prev_end1")).otherwise(F.col("_prev_end0")))
         out = out.withColumn("Dir_IAT_ns", F.coalesce(F.col("Time_ns") - earlier, F.lit(0)))
@@ -112,12 +115,13 @@ def trace_packets(packets: DataFrame, options: FlowOptions = FlowOptions(), keep
 def packets_with_flow_id(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFrame:
     """The packet table with ``FlowID``, for tracing flows back to their packets."""
     traced = trace_packets(packets, options).withColumns({"FlowID": flow_id(), "Flow_IAT": C.seconds(F.col("IAT_ns"))})
-    return traced.drop("_flow_packets", "IAT_ns", *KEY[:4])
+    return traced.drop("_flow_packets", "_opens_flow", "IAT_ns", *KEY[:4])
 
 
-def _when_first(name: str) -> Column:
-    """Value of the earliest packet; a struct of the order makes ties deterministic."""
-    return F.min_by(name, F.struct("Time_ns", "Frame_Number"))
+def _of_first_packet(name: str) -> Column:
+    """Value of the packet that opens the flow. A plain maximum keeps the aggregate on fixed-width
+    buffers, where ``min_by`` over a struct would need a sort."""
+    return F.max(F.when(F.col("_opens_flow"), F.col(name)))
 
 
 def flow37(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFrame:
@@ -131,7 +135,7 @@ def flow37(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFram
     wide = F.col("_flow_packets") > options.wide_flow_packets
     some_wide = _has_wide_key(packets, options.wide_flow_packets)
     base = traced.groupBy(*FLOW).agg(
-        _when_first("Is_Forward").alias("_first_forward"),
+        _of_first_packet("Is_Forward").alias("_first_forward"),
         F.min("Time_ns").alias("_start"),
         F.max("Time_ns").alias("_end"),
         F.count(F.lit(1)).alias("Total_Packets"),
@@ -245,7 +249,7 @@ def flow32(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFram
     forward, backward = F.col("Is_Forward") == 1, F.col("Is_Forward") == 0
     fwd_ns, bwd_ns = F.when(forward, F.col("Dir_IAT_ns")), F.when(backward, F.col("Dir_IAT_ns"))
     base = traced.groupBy(*FLOW).agg(
-        _when_first("Is_Forward").alias("_first_forward"),
+        _of_first_packet("Is_Forward").alias("_first_forward"),
         F.min("Time_ns").alias("_start"), F.max("Time_ns").alias("_end"),
         F.sum("Is_Forward").alias("_fwd"), F.count(F.lit(1)).alias("_all"),
         F.sum(F.col("Length").cast("bigint")).alias("_bytes"),
