@@ -53,55 +53,48 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 
 
-def _exact_partners(gap: int, have: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that sum to the gap, fewest first, longest first."""
-    if have[gap]:
-        return [gap]
+def _exact_partners(gap: int, have: np.ndarray, number: int, least: int) -> list[int] | None:
+    """``number`` (1 to 3) available lengths of at least ``least`` that sum to the gap, longest first."""
+    if number == 1:
+        return [gap] if gap >= least and have[gap] else None
     lengths = np.flatnonzero(have[:gap])
-    if not len(lengths):
-        return None
-    rest = gap - lengths
-    fits = (have[rest] > 0) & (rest <= lengths) & ((rest != lengths) | (have[lengths] > 1))
-    if fits.any():
-        a = int(lengths[fits][-1])
-        return [a, gap - a]
-    # triples: a pair sum for what each third length leaves
-    for a in lengths[::-1][: len(lengths)]:
-        left = gap - int(a)
-        b = lengths[(lengths <= a) & (lengths < left)]
-        c = left - b
-        fits = (c <= b) & (have[c] > 0)
-        for x in b[fits][::-1]:
-            triple = [int(a), int(x), left - int(x)]
-            if all(have[t] >= triple.count(t) for t in triple):
-                return triple
+    lengths = lengths[lengths >= least]
+    if number == 2:
+        rest = gap - lengths
+        fits = (rest >= least) & (rest <= lengths) & (have[rest] > 0) & ((rest != lengths) | (have[lengths] > 1))
+        return [int(lengths[fits][-1]), int(gap - lengths[fits][-1])] if fits.any() else None
+    for a in lengths[::-1]:
         if 3 * a < gap:
             break
+        have[a] -= 1
+        pair = _exact_partners(int(gap - a), np.where(np.arange(len(have)) <= a, have, 0), 2, least) if gap - a > 1 else None
+        have[a] += 1
+        if pair:
+            return [int(a), *pair]
     return None
 
 
-def packing_plan(counts: np.ndarray, size: int = SEQUENCE) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, longest first) with how many sequences each fills; ``counts[l]`` pieces have length l."""
+def _one_plan(counts: np.ndarray, size: int, partners: int, least: int) -> list[tuple[list[int], int]]:
     have = counts.astype(np.int64).copy()
     plan: list[tuple[list[int], int]] = []
 
-    def consume(pattern: list[int], most: int | None = None) -> None:
+    def consume(pattern: list[int]) -> None:
         number = min(int(have[x]) // pattern.count(x) for x in set(pattern))
-        number = number if most is None else min(number, most)
         for x in pattern:
             have[x] -= number
         plan.append((pattern, number))
 
     if have[size]:
         consume([size])
-    for length in range(size - 1, 0, -1):
-        while have[length]:
-            have[length] -= 1
-            partners = _exact_partners(size - length, have)
-            have[length] += 1
-            if partners is None:
-                break
-            consume(sorted([length, *partners], reverse=True))
+    for number in range(1, partners + 1):
+        for length in range(size - 1, 0, -1):
+            while have[length]:
+                have[length] -= 1
+                found = _exact_partners(size - length, have, number, least if number > 1 else 1)
+                have[length] += 1
+                if found is None:
+                    break
+                consume(sorted([length, *found], reverse=True))
     # best fit of what is left: open[g] holds patterns with a gap of g
     open_: dict[int, list[tuple[list[int], int]]] = {}
     for length in range(size - 1, 0, -1):
@@ -126,6 +119,16 @@ def packing_plan(counts: np.ndarray, size: int = SEQUENCE) -> list[tuple[list[in
     return plan + [x for rows in open_.values() for x in rows]
 
 
+def packing_plan(counts: np.ndarray, size: int = SEQUENCE) -> list[tuple[list[int], int]]:
+    """Patterns (lengths, longest first) with how many sequences each fills; ``counts[l]`` pieces have length l.
+
+    Exact fills that use up all short pieces leave gaps that nothing fits, so plans with combinations of one to three
+    partners, and with short pieces kept back, are made and the one with the fewest sequences is taken.
+    """
+    tries = [_one_plan(counts, size, partners, size // share) for partners, share in ((3, size), (3, 16), (3, 8), (3, 5), (2, size), (2, 8), (1, 1))]
+    return min(tries, key=lambda plan: sum(number for _, number in plan))
+
+
 def plan_rows(plan: list[tuple[list[int], int]], lengths: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By length: first piece numbers of its ranges, their first sequence, their offset, and slots per sequence."""
     taken = np.zeros(lengths + 1, dtype=np.int64)
