@@ -18,6 +18,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from flowquarry.llm.text import word_count
 from flowquarry.session import cut_lineage
@@ -126,7 +127,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     """The first words of each text, with the space between them as it stands."""
     def cut(text: str, count: int) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowquarry.llm import chat, mixing, near_dup, packing, quality_cnn, token_prefix
+from flowquarry.llm import chat, line_rules, mixing, near_dup, packing, quality_cnn, token_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -74,3 +74,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_cnn.score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+@query("op6_line_frequency_rules", """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 4), ' ') AS key FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS n FROM win) WHERE n >= 2),
+reps AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM again) GROUP BY rid),
+raw AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+plain AS (SELECT rid, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g')) AS line FROM raw),
+parts AS (SELECT rid, doc_id, source, line, len(string_split(line, ' ')) AS words FROM plain JOIN d USING (rid) WHERE line <> ''),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+common AS (SELECT p.source, p.line FROM parts p JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source GROUP BY p.source, p.line, h.docs
+    HAVING count(DISTINCT p.doc_id) > 25 AND count(DISTINCT p.doc_id) > h.docs * 0.02),
+gone AS (SELECT p.rid, sum(p.words) AS n_gone FROM parts p JOIN common c ON p.line = c.line AND p.source IS NOT DISTINCT FROM c.source GROUP BY p.rid),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(n_gone, 0)::BIGINT AS removed_words
+    FROM d LEFT JOIN reps USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND n_words - removed_words >= 10 AND n_words - removed_words >= n_words * 0.5 AS kept FROM v
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
