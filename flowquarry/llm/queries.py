@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowquarry.llm import chat, line_rules, mixing, near_dup, packing, quality_cnn, token_prefix
+from flowquarry.llm import chat, line_rules, mixing, near_dup, packing, pii, quality_cnn, secret_links, token_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -100,3 +100,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op8_weak_supervision_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "personal")
+    base = F.filter("personal", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("personal", lambda x: x["base"] & (x["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("personal")).alias("spans"))
+
+
+@query("op10_credential_links")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_links.listed(F.col("base")), 256).alias("base_sha256"),
+                        secret_links.listed(F.concat("base", "linked")).alias("spans"))
