@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowquarry.llm import mixing, packing
+from flowquarry.llm import mixing, near_dup, packing, pii, quality_cnn
 from flowquarry.llm.queries import TOKENIZER
 from flowquarry.session import scratch_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on the labels of ``sf_dir``, takes for good ones."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality_cnn.score_quality(docs, labels).where("quality_predicted = 1").select(*docs.columns)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of least doc_id, and of equal ids its least row.
+
+    Rows without a doc_id cannot be named by their group and stay.
+    """
+    keep = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    chosen = docs.join(keep, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    named = chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one that ends a shard's quota is cut."""
     return mixing.mix_documents(docs)
@@ -20,7 +43,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("mixing", mix_stage), ("packing", pack_stage)]
+STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("pii", pii_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 #: Stages train a model and tokenize, which SQL cannot say.
 ORACLE_SQL = None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowquarry.llm import chat, line_rules, mixing, near_dup, packing, pii, quality_cnn, secret_links, token_prefix
+from flowquarry.llm import ann, chat, line_rules, mixing, near_dup, packing, pii, quality_cnn, secret_links, token_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -115,3 +115,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_links.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_links.listed(F.col("base")), 256).alias("base_sha256"),
                         secret_links.listed(F.concat("base", "linked")).alias("spans"))
+
+
+@query("op9_multi_index_hashing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 #: The word pattern of byte-level byte-pair vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
+#: Longer than any token, so that a token never reaches before the first byte of a longer prefix.
+SHORT = 160
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, n_chars bigint, cut_chars bigint, prefix_deltas binary"
 
 
@@ -75,11 +77,11 @@ class BytePairs:
             if len(token) > 2:
                 self.endings.setdefault(token[-3:], []).append(len(token))
         self.endings = {k: sorted(set(v), reverse=True) for k, v in self.endings.items()}
-        self.follows = Recent(lambda pair: self.piece(pair[0] + pair[1]) == [self.ranks[pair[0]], self.ranks[pair[1]]])
+        self.follows = Recent(lambda pair: self.piece(pair[0] + pair[1]) == [self.ranks[pair[0]], self.ranks[pair[1]]], 100_000)
         self.prefix_end = Recent(self._prefix_end)
-        self.piece_ids = Recent(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes())
-        self.chunk_ids = Recent(self._chunk_ids)
-        self.pieces = Recent(self._piece_counts)
+        self.piece_ids = Recent(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes(), 100_000)
+        self.chunk_ids = Recent(self._chunk_ids, 400_000)
+        self.pieces = Recent(self._piece_counts, 100_000)
         self.chunk_counts = Recent(self._chunk_counts)
 
     def _chunks(self, text: str) -> tuple[str, list[str], str] | None:
@@ -113,33 +115,32 @@ class BytePairs:
         return b"".join(np.array([self.added[x]], dtype="<u4").tobytes() if x in self.added else self._plain_ids(x) for x in self.split_added(text))
 
     # counts at prefixes ----------------------------------------------------------------------------------------------
-    def _ending(self, data: bytes, before) -> tuple[bytes, int]:
-        """Last token of a piece and its count of tokens; ``before`` gives the same for a shorter prefix."""
-        for size in self.endings.get(data[-3:], ()):
-            if size <= len(data) and (token := data[-size:]) in self.ranks:
-                if size == len(data):
-                    return token, 1
-                end, count = before(data, len(data) - size)
-                if self.follows[end, token]:
-                    return token, count + 1
-        for size in (2, 1):
-            if size <= len(data) and (token := data[-size:]) in self.ranks:
-                if size == len(data):
-                    return token, 1
-                end, count = before(data, len(data) - size)
-                if size == 1 or self.follows[end, token]:
-                    return token, count + 1
+    def _long_ending(self, data: bytes, ends: list[tuple[bytes, int]], stop: int) -> tuple[bytes, int]:
+        """Last token of the first ``stop`` bytes and their count; ``ends`` has the same for all shorter prefixes."""
+        for size in (*self.endings.get(data[stop - 3:stop], ()), 2, 1):
+            token = data[stop - size:stop]
+            if token in self.ranks and (size == 1 or self.follows[ends[stop - size - 1][0], token]):
+                return token, ends[stop - size - 1][1] + 1
         raise ValueError("a byte is missing from the vocabulary")
 
     def _prefix_end(self, data: bytes) -> tuple[bytes, int]:
-        return self._ending(data, lambda whole, size: self.prefix_end[whole[:size]])
+        """The same for a short prefix, by way of the shorter prefixes remembered."""
+        ranks, follows, before, length = self.ranks, self.follows, self.prefix_end, len(data)
+        for size in (*self.endings.get(data[-3:], ()), 2, 1):
+            if size < length:
+                if (token := data[-size:]) in ranks:
+                    end, count = before[data[:-size]]
+                    if size == 1 or follows[end, token]:
+                        return token, count + 1
+            elif size == length and data in ranks:
+                return data, 1
+        raise ValueError("a byte is missing from the vocabulary")
 
     def _byte_counts(self, data: bytes) -> list[int]:
         """Tokens of data[:i] for i = 1, 2, ..., shortest first; short prefixes are shared between pieces."""
-        ends: list[tuple[bytes, int]] = []
-        for stop in range(1, len(data) + 1):
-            # no token is longer than the 256 bytes kept
-            ends.append(self.prefix_end[data[:stop]] if stop <= 48 else self._ending(data[max(0, stop - 256):stop], lambda part, size, stop=stop: ends[stop - len(part) + size - 1]))
+        ends = [self.prefix_end[data[:stop]] for stop in range(1, min(len(data), SHORT) + 1)]
+        for stop in range(SHORT + 1, len(data) + 1):
+            ends.append(self._long_ending(data, ends, stop))
         return [count for _, count in ends]
 
     def _piece_counts(self, piece: str) -> list[int]:
@@ -170,7 +171,7 @@ class BytePairs:
 
     def _chunk_counts(self, chunk: str) -> tuple[bytes, int] | None:
         if chunk.isalpha():
-            local = self.pieces[" " + chunk]
+            local = self._piece_counts(" " + chunk)
         elif chunk[0].isspace() or chunk[-1].isspace():
             return None
         else:
