@@ -13,7 +13,7 @@ from flowquarry.session import scratch_path
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on the labels of ``sf_dir``, takes for good ones."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return quality_cnn.score_quality(docs, labels).where("quality_predicted = 1").select(*docs.columns)
+    return quality_cnn.score_quality(docs, labels, prefix="__quality").where("__quality_predicted = 1").select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,26 +145,26 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     copies of one another: their copies are counted together.
     """
     names = docs.columns
-    keyed = docs.select(*names, F.xxhash64("text").alias("text_key"))
-    plan = mix(keyed.select("doc_id", "source", "text_key", word_count(F.col("text")).alias("size")), **options)
+    keyed = docs.select(*names, F.xxhash64("text").alias("__text_key"))
+    plan = mix(keyed.select("doc_id", "source", "__text_key", word_count(F.col("text")).alias("size")), **options)
     # equal rows stand side by side in one shard, and a shard cuts one row at most
-    plan = cut_lineage(plan.groupBy("doc_id", "source", "text_key").agg(
-        F.count("*").alias("rows"), F.sum("full_copies").alias("full_copies"), F.max("cut_words").alias("cut_words")).where("full_copies > 0 or cut_words > 0"))
+    plan = cut_lineage(plan.groupBy(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "__text_key")]).agg(
+        F.count("*").alias("__rows"), F.sum("full_copies").alias("__full"), F.max("cut_words").alias("__cut")).where("__full > 0 or __cut > 0"))
+
+    same = _is(F.col("doc_id"), F.col("__of_doc_id")) & _is(F.col("source"), F.col("__of_source")) & (F.col("__text_key") == F.col("__of___text_key"))
 
     def taken(rows: DataFrame, of: DataFrame) -> DataFrame:
-        keys = [_is(rows[c], of[c]) for c in ("doc_id", "source", "text_key")]
-        both = rows.join(of, keys[0] & keys[1] & keys[2]).select(*[rows[c] for c in names], "full_copies", "cut_words")
-        copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("full_copies").cast("int")),
-                          F.when(F.col("cut_words") > 0, F.array("cut_words")).otherwise(F.array().cast("array<bigint>")))
-        return both.select(*names, F.explode(copies).alias("keep_words"))
-
-    single = taken(keyed, plan.where("rows = 1"))
-    again = plan.where("rows > 1")
-    same = [_is(keyed[c], again[c]) for c in ("doc_id", "source", "text_key")]
-    repeated = taken(keyed.join(again, same[0] & same[1] & same[2], "left_semi").dropDuplicates(["doc_id", "source", "text_key"]), again)
+        both = rows.join(of, same).select(*names, "__full", "__cut")
+        copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("__full").cast("int")),
+                          F.when(F.col("__cut") > 0, F.array("__cut")).otherwise(F.array().cast("array<bigint>")))
+        return both.select(*names, F.explode(copies).alias("__keep"))
+
+    single = taken(keyed, plan.where("__rows = 1"))
+    again = plan.where("__rows > 1")
+    repeated = taken(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "source", "__text_key"]), again)
     both = single.unionByName(repeated)
-    cut = F.when(F.col("keep_words") > 0, first_words("text", "keep_words")).otherwise(F.col("text"))
+    cut = F.when(F.col("__keep") > 0, first_words("text", "__keep")).otherwise(F.col("text"))
     both = both.withColumn("text", cut)
     if "n_chars" in names:
-        both = both.withColumn("n_chars", F.when(F.col("keep_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        both = both.withColumn("n_chars", F.when(F.col("__keep") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return both.select(*names)

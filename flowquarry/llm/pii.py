@@ -172,10 +172,10 @@ def personal_spans(text: Column, model: dict[str, list[float]]) -> Column:
     return F.transform(F.filter(candidates(text), accepted), short)
 
 
-def find_personal(docs: DataFrame, model: dict[str, list[float]] | None = None) -> DataFrame:
-    """``docs`` with an array column ``personal``; fits the model over all texts unless one is given. No shuffle of texts."""
+def find_personal(docs: DataFrame, model: dict[str, list[float]] | None = None, into: str = "personal") -> DataFrame:
+    """``docs`` with an array column ``into``; fits the model over all texts unless one is given. No shuffle of texts."""
     model = model or fit(docs)
-    return docs.withColumn("personal", personal_spans(F.col("text"), model))
+    return docs.withColumn(into, personal_spans(F.col("text"), model))
 
 
 def listed(found: Column) -> Column:
@@ -187,8 +187,8 @@ def listed(found: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; n_chars, where there is one, follows."""
     text = F.col("text")
-    found = find_personal(docs)
-    by_start = F.array_sort(F.transform("personal", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
+    found = find_personal(docs, into="__personal")
+    by_start = F.array_sort(F.transform("__personal", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     none = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>")
 
     def join(done: Column, x: Column) -> Column:
@@ -202,7 +202,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(kept, ""), F.substr(whole, (F.element_at(cuts, -1)["stop"] + 1).cast("int")))
 
     merged = F.aggregate(by_start, none, join)
-    out = found.withColumn("text", F.when(F.size("personal") > 0, let(merged, lambda cuts: pieces(text, cuts))).otherwise(text))
+    out = found.withColumn("text", F.when(F.size("__personal") > 0, let(merged, lambda cuts: pieces(text, cuts))).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("personal") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__personal") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

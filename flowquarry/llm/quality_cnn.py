@@ -236,14 +236,15 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return [(r["text"] or "").encode() for r in rows], truth, weights
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with columns quality_score and quality_predicted added at the end (columns of those names are replaced)."""
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prefix: str = "quality") -> DataFrame:
+    """``docs`` with columns <prefix>_score and <prefix>_predicted added at the end (columns of those names are replaced)."""
+    added = [f"{prefix}_score", f"{prefix}_predicted"]
     texts, truth, weights = fit_sample(docs, labels, fit_rows)
     share = float((truth * weights).sum() / weights.sum()) if len(truth) else 0.5
     net = fit(texts, truth, weights) if 0 < truth.sum() < len(truth) else None
-    kept = [c for c in docs.columns if c not in ("quality_score", "quality_predicted")]
+    kept = [c for c in docs.columns if c not in added]
     source = docs.select(*kept)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in source.schema)}, quality_score double, quality_predicted int"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in source.schema)}, {added[0]} double, {added[1]} int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
@@ -251,6 +252,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
             data = [(t or "").encode() for t in batch["text"].to_pylist()]
             score = score_texts(net, tables, data) if net and data else np.full(len(data), share)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())],
-                                             [*batch.schema.names, "quality_score", "quality_predicted"])
+                                             [*batch.schema.names, *added])
 
     return source.mapInArrow(run, schema)
