@@ -43,7 +43,7 @@ def _(spark, d):
 @query("m05_one_class_svm")
 def _(spark, d):
     rows, cols = scaled_flows(spark, d)
-    return isolation.one_class_svm(rows, cols, ["FlowID"], OPT.nu, OPT.svm_fit_rows, OPT.svm_features, seed=OPT.seed).select("FlowID", "OneClassSVM_Pred")
+    return isolation.one_class_svm(rows, cols, ["FlowID"], OPT.nu, OPT.svm_features, seed=OPT.seed).select("FlowID", "OneClassSVM_Pred")
 
 
 @query("m06_dbscan")

@@ -123,7 +123,7 @@ def clean_packets_lenient(raw: DataFrame) -> DataFrame:
     return raw.withColumns({
         "Time_ns": F.coalesce(time, F.lit(0).cast("bigint")),
         "Time": C.seconds(F.coalesce(time, F.lit(0).cast("bigint"))),
-        "Length": F.coalesce(length, F.lit(0.0)).cast("int"),
+        "Length": F.coalesce(length.try_cast("int"), F.lit(0)),
         "Source": F.coalesce(F.col("Source").cast("string"), F.lit("0.0.0.0")),
         "Destination": F.coalesce(F.col("Destination").cast("string"), F.lit("0.0.0.0")),
         "Protocol": F.coalesce(F.col("Protocol").cast("string"), F.lit("UNKNOWN")),

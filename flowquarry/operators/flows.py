@@ -22,6 +22,7 @@ from flowquarry import fixed
 from flowquarry.functions import columns as C
 from flowquarry.operators.quantiles import wide_group_median
 from flowquarry.options import FlowOptions
+from flowquarry.session import store_scratch
 
 KEY = ["Canonical_IP1", "Canonical_IP2", "Canonical_Port1", "Canonical_Port2", "Protocol"]
 FLOW = KEY + ["Subflow_ID"]
@@ -130,10 +131,11 @@ def flow37(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFram
     ``packets`` needs ``Time_ns, Frame_Number, Source, Destination, Source_Port,
     Destination_Port, Protocol, Length`` and the eight flag columns.
     """
-    traced = trace_packets(packets, options)
+    needed = [*FLOW, "IAT_ns", "_flow_packets", "_opens_flow", "Is_Forward", "Time_ns", "Length", *[f"Flag_{f}" for f in fixed.TCP_FLAGS]]
+    # written once: the flow aggregate reads it all, the median of wide flows only what the statistics of the files let through
+    traced = store_scratch(trace_packets(packets, options).select(*needed), "traced")
     iat = C.seconds(F.col("IAT_ns"))
     wide = F.col("_flow_packets") > options.wide_flow_packets
-    some_wide = _has_wide_key(packets, options.wide_flow_packets)
     base = traced.groupBy(*FLOW).agg(
         _of_first_packet("Is_Forward").alias("_first_forward"),
         F.min("Time_ns").alias("_start"),
@@ -145,7 +147,7 @@ def flow37(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFram
         F.max("Length").alias("Max_Packet_Length"),
         F.coalesce(F.var_samp("Length"), F.lit(0.0)).alias("Packet_Length_Var"),
         F.coalesce(F.stddev_samp("Length"), F.lit(0.0)).alias("Packet_Length_Std"),
-        F.median(F.when(~wide, F.col("IAT_ns")) if some_wide else F.col("IAT_ns")).alias("_iat_median"),
+        F.median(F.when(~wide, F.col("IAT_ns"))).alias("_iat_median"),
         F.sum("IAT_ns").alias("_iat_sum"),
         F.min("IAT_ns").alias("_iat_min"),
         F.max("IAT_ns").alias("_iat_max"),
@@ -154,26 +156,11 @@ def flow37(packets: DataFrame, options: FlowOptions = FlowOptions()) -> DataFram
         F.sum("Is_Forward").alias("Forward_Packets"),
         *[F.sum(f"Flag_{f}").alias(f"{f}_Count") for f in fixed.TCP_FLAGS],
     )
-    if some_wide:
-        widest = wide_group_median(traced.filter(wide), FLOW, "IAT_ns", "_wide_median")
-        base = base.join(widest, FLOW, "left").withColumn(
-            "_iat_median", F.coalesce(F.col("_wide_median"), F.col("_iat_median"))
-        )
+    widest = wide_group_median(traced.filter(wide), FLOW, "IAT_ns", "_wide_median")
+    base = base.join(widest, FLOW, "left").withColumn("_iat_median", F.coalesce(F.col("_wide_median"), F.col("_iat_median")))
     return _finish37(base)
 
 
-def _has_wide_key(packets: DataFrame, limit: int) -> bool:
-    """Whether any 5-tuple has more than ``limit`` packets.
-
-    The first count reads only file footers when ``packets`` is a plain projection of a table;
-    the second counts per key with map-side combine and runs only on large inputs.
-    """
-    if packets.select(F.lit(1)).count() <= limit:
-        return False
-    per_key = canonical_key(packets).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    return bool(per_key.filter(F.col("_n") > limit).take(1))
-
-
 def _finish37(base: DataFrame) -> DataFrame:
     forward = F.col("_first_forward") == 1
     packets = F.col("Total_Packets")

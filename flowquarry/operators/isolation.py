@@ -1,7 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou 2008) and one-class SVM on random features.
 
-Both fit on a hash-chosen sample of fixed size and score every row. The fitted model is a
-small table (trees x nodes, or one weight vector) whose size does not depend on the data.
+Each tree draws its few rows from the whole table, as the method has it; the SVM is fitted on all
+rows. The fitted model is a small table (trees x nodes, or one weight vector) whose size does not
+depend on the data.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from flowquarry.operators.quantiles import percentile_row
-from flowquarry.operators.selection import hash_sample
 from flowquarry.session import cut_lineage
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -57,15 +57,19 @@ def _grow(rows: np.ndarray, random: np.random.Generator, limit: int) -> list[tup
 
 
 def isolation_trees(df: DataFrame, cols: list[str], keys: list[str], trees: int = 100, rows: int = 256, seed: int = 42) -> DataFrame:
-    """Node table of the forest. Each tree sees at most ``rows`` rows of a bounded sample."""
-    base = cut_lineage(hash_sample(df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols if c not in keys]), int(trees * rows * 1.25), keys, seed))
-    size = base.count()
-    copies = max(1, min(trees, math.ceil(trees * rows * 1.25 / max(1, size))))
-    # every row goes to the trees that come first in its own hash order of trees
+    """Node table of the forest. Each tree sees ``rows`` rows drawn from the whole table by its own hash of the keys.
+
+    A row enters a tree when its hash for that tree is below a threshold that lets through a little more than ``rows``
+    rows; the least hashes of those are used. So what is gathered is a few hundred rows a tree, whatever the table's size.
+    """
+    size = df.count()
+    share = min(1.0, (rows + 6 * math.sqrt(rows)) / max(1, size))
+    limit = int(share * (1 << 52))
     mark = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(mark, t).alias("h"), t.alias("t")))
-    drawn = base.withColumn("_d", F.explode(F.slice(F.array_sort(draws), 1, copies)))
-    order = Window.partitionBy("tree").orderBy("_h")
+    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.shiftrightunsigned(F.xxhash64(mark, t), 12).alias("h"), t.alias("t"))), lambda x: x["h"] <= limit)
+    base = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols if c not in keys])
+    drawn = base.withColumn("_d", F.explode(draws))
+    order = Window.partitionBy("tree").orderBy("_h", *cols)
     picked = drawn.select(F.col("_d.t").alias("tree"), F.col("_d.h").alias("_h"), *cols).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,22 +121,21 @@ def isolation_forest(df: DataFrame, cols: list[str], keys: list[str], trees: int
     return scored.withColumn(name, verdict).drop("_score")
 
 
-def one_class_svm(df: DataFrame, cols: list[str], keys: list[str], nu: float = 0.05, fit_rows: int = 15_000,
-                  features: int = 256, rounds: int = 6, local_steps: int = 60, seed: int = 42,
-                  name: str = "OneClassSVM_Pred") -> DataFrame:
-    """-1 outside the learnt region, else 1.
+def one_class_svm(df: DataFrame, cols: list[str], keys: list[str], nu: float = 0.05, features: int = 256,
+                  rounds: int = 30, seed: int = 42, name: str = "OneClassSVM_Pred") -> DataFrame:
+    """-1 outside the learnt region, else 1. Fitted on all rows.
 
     The rbf kernel is approximated by random Fourier features (Rahimi and Recht 2007) with
-    gamma = 1 / (columns x variance). The primal objective is fitted by rounds of local
-    subgradient steps per partition whose weight vectors are averaged, on at most ``fit_rows``
-    rows; the offset is the exact nu quantile of the fitted rows' scores.
+    gamma = 1 / (columns x variance). Every round is one pass: batches return the sum of the features of rows below the
+    margin, these are summed in Spark per feature, and ``features`` numbers come to the driver for one subgradient step.
+    The offset is the exact nu quantile of the scores of all rows.
     """
     d = len(cols)
-    sample = cut_lineage(hash_sample(df.select(*dict.fromkeys([*keys, *cols])), fit_rows, keys, seed))
-    moments = sample.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)], *[F.avg(F.col(f"`{c}`") * F.col(f"`{c}`")).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    if moments[0] is None:
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    moments = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)], *[F.avg(F.col(f"`{c}`") * F.col(f"`{c}`")).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    if not moments["n"]:
         return df.withColumn(name, F.lit(1))
-    variance = float(np.mean([moments[d + i] for i in range(d)]) - np.mean([moments[i] for i in range(d)]) ** 2)
+    variance = float(np.mean([moments[f"q{i}"] for i in range(d)]) - np.mean([moments[f"m{i}"] for i in range(d)]) ** 2)
     gamma = 1.0 / (d * variance) if variance > 0 else 1.0
     random = np.random.default_rng(seed)
     directions = random.normal(0.0, math.sqrt(2.0 * gamma), (d, features))
@@ -142,33 +145,30 @@ def one_class_svm(df: DataFrame, cols: list[str], keys: list[str], nu: float = 0
     def lifted(batch: pd.DataFrame) -> np.ndarray:
         return scale * np.cos(batch[cols].to_numpy(dtype=float) @ directions + phases)
 
-    def local_fit(weights: np.ndarray, rho: float, round_number: int):
-        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            parts = [lifted(b) for b in batches if len(b)]
-            if not parts:
-                return
-            z, w, r = np.vstack(parts), weights.copy(), rho
-            for step in range(local_steps):
-                rate = 1.0 / (2.0 + round_number * local_steps + step)
-                violated = z @ w < r
-                w -= rate * (w - z[violated].sum(axis=0) / (nu * len(z)))
-                r -= rate * (violated.mean() / nu - 1.0)
-            yield pd.DataFrame({"w": [w.tolist()], "r": [r], "n": [len(z)]})
-        return fit
-
-    w, rho = np.zeros(features), 0.0
-    for round_number in range(rounds):
-        # one row per partition of the bounded sample
-        fits = sample.mapInPandas(local_fit(w, rho, round_number), "w array<double>, r double, n long").toPandas()
-        share = fits["n"].to_numpy() / fits["n"].sum()
-        w = (np.array(fits["w"].tolist()) * share[:, None]).sum(axis=0)
-        rho = float((fits["r"].to_numpy() * share).sum())
+    def below_margin(weights: np.ndarray, rho: float):
+        def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, below = np.zeros(features), 0
+            for batch in batches:
+                z = lifted(batch)
+                under = z @ weights < rho
+                total += z[under].sum(axis=0)
+                below += int(under.sum())
+            yield pd.DataFrame({"i": np.arange(features + 1), "v": np.append(total, float(below))})
+        return add_up
+
+    w, rho = np.zeros(features), 1.0  # every row is below the margin at first, so w starts at the mean
+    for step in range(rounds):
+        sums = dict(rows.mapInPandas(below_margin(w, rho), "i int, v double").groupBy("i").agg(F.sum("v")).collect())
+        total = np.array([sums.get(i, 0.0) for i in range(features)])
+        rate = 1.0 if step == 0 else 1.0 / (1.0 + step)
+        below = sums.get(features, 0.0) / moments["n"]
+        w = (1 - rate) * w + rate * total / (nu * moments["n"]) if step else total / moments["n"]
+        rho = float(w @ w) if step == 0 else rho - rate * (below / nu - 1.0) * abs(rho)
 
     def add_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(_score=lifted(batch) @ w)
 
-    fitted = cut_lineage(sample.mapInPandas(add_score, _with_double(sample, "_score")))
-    offset = percentile_row(fitted, {"s": F.col("_score")}, [nu])["s"][0]
-    scored = df.mapInPandas(add_score, _with_double(df, "_score"))
+    scored = cut_lineage(df.mapInPandas(add_score, _with_double(df, "_score")))
+    offset = percentile_row(scored, {"s": F.col("_score")}, [nu])["s"][0]
     return scored.withColumn(name, F.when(F.col("_score") < offset, -1).otherwise(1)).drop("_score")

@@ -32,7 +32,7 @@ def mutual_information(df: DataFrame, cols: list[str], label: Column, bins: int
     """
     edges = percentile_row(df, {c: F.col(f"`{c}`") for c in cols}, [i / bins for i in range(1, bins)], interpolate=False)
     binned = df.select(label.alias("_y"), *[
-        sum(((F.col(f"`{c}`") > e).cast("int") for e in dict.fromkeys(edges[c]) if e is not None), F.lit(0)).alias(c) for c in cols
+        sum(((C.finite(F.col(f"`{c}`")) > e).cast("int") for e in dict.fromkeys(edges[c]) if e is not None), F.lit(0)).alias(c) for c in cols
     ])
     cells = binned.unpivot("_y", [F.col(f"`{c}`") for c in cols], "feature", "bin").groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("n"))
     # From here on: features x bins x classes rows.

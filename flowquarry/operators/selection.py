@@ -37,9 +37,30 @@ def packets_of_flows(packets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows (all when fewer), the same ones on every run and any partitioning."""
-    order = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed))
-    return df.orderBy(order, *[F.col(f"`{k}`") for k in keys]).limit(n)
+    """Exactly n rows (all when fewer), the same ones on every run and any partitioning.
+
+    The rows of least hash, by a threshold found from bucket counts (65,536 at most a pass); only the bucket that holds
+    the threshold is sorted, so the sample stays spread over the tasks of ``df``, which is read a few times.
+    """
+    key = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed))
+    rows, low, missing = df, -(1 << 63), n
+    for shift in (48, 32, 16, 0):
+        counts = dict(rows.groupBy(F.shiftright(key, shift).alias("b")).count().collect())
+        below = 0
+        for bucket in sorted(counts):
+            if below + counts[bucket] > missing:
+                break
+            below += counts[bucket]
+        else:
+            return df if low == -(1 << 63) else df.filter(key < low + (1 << (shift + 16)))
+        missing -= below
+        low, inside = bucket << shift, counts[bucket]
+        rows = df.filter(F.shiftright(key, shift) == bucket)
+        if inside <= 4_096:
+            break
+    if not missing:
+        return df.filter(key < low)
+    return df.filter(key < low).unionByName(rows.orderBy(key, *[F.col(f"`{k}`") for k in keys]).limit(missing))
 
 
 def top_flows(flows: DataFrame, metric: str, n: int = 5) -> DataFrame:

@@ -83,9 +83,10 @@ def per_second(packets: DataFrame) -> DataFrame:
 
 # --- distributions ---------------------------------------------------------------------
 def histogram(df: DataFrame, value: Column, bins: int = 50, log_scale: bool = False, by: str | None = None) -> DataFrame:
-    """Counts per equal-width bin between minimum and maximum (of log10 when ``log_scale``)."""
-    v = F.log10(value) if log_scale else value.cast("double")
-    usable = value.isNotNull() & ((value > 0) if log_scale else F.lit(True))
+    """Counts per equal-width bin between the least and largest finite value (of log10 of positive ones when ``log_scale``)."""
+    sound = C.finite(value)
+    v = F.log10(sound) if log_scale else sound
+    usable = sound.isNotNull() & ((sound > 0) if log_scale else F.lit(True))
     keep = [by] if by else []
     rows = df.filter(usable).select(*keep, v.alias("_v"))
     bounds = rows.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()

@@ -12,8 +12,8 @@ class FlowOptions:
     # Packets of one key are spread over cells of this many seconds, so that one busy key
     # never has to be ordered by a single task. Never wider than the timeout.
     cell_seconds: float = 10.0
-    # Above this many packets the exact median inter-arrival time of a flow is found by
-    # narrowing over many tasks instead of in one aggregation buffer.
+    # The exact median inter-arrival time of a flow with more packets than this is found by
+    # narrowing over many tasks instead of in one aggregation buffer. Same values either way.
     wide_flow_packets: int = 1_000_000
 
 
@@ -23,9 +23,7 @@ class AnomalyOptions:
     tree_rows: int = 256
     contamination: float = 0.05
     nu: float = 0.05
-    svm_fit_rows: int = 15_000
     svm_features: int = 256
-    svm_steps: int = 40
     eps: float = 0.8
     min_points: int = 5
     clusters: int = 4

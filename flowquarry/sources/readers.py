@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -94,40 +95,58 @@ def from_windows_1252(col: Column) -> Column:
     return F.translate(col, "".join(map(chr, codes)), bytes(codes).decode("windows-1252"))
 
 
+def _headers(spark: SparkSession, folder: str) -> dict[str, str]:
+    """First line of each CSV file of a folder by its path. Files are listed once and only their heads are read."""
+    try:
+        paths = sorted(spark.read.option("pathGlobFilter", "*.csv").text(folder).inputFiles())
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return {}
+        raise
+
+    def head(path: str) -> str:
+        line = spark.read.text(path).first()
+        return line[0].lstrip("\ufeff").rstrip("\r") if line else ""
+
+    with ThreadPoolExecutor(16) as pool:
+        return {path: line for path, line in zip(paths, pool.map(head, paths), strict=True) if line.strip()}
+
+
 def read_directory(spark: SparkSession, folder: str, fallback: str | None = None) -> DataFrame:
     """Every CSV file of a folder, or of the fallback folder when the first has none.
 
+    Files are joined by the names in their own headers, in any order; a column that a file lacks is NULL there.
     Numeric text is typed on the way in: everything but the label becomes DOUBLE.
     """
     for place in [folder] + ([fallback] if fallback else []):
-        try:
-            first = spark.read.options(header=True, pathGlobFilter="*.csv").csv(place)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                continue
-            raise
-        if first.columns:
-            return _typed_flow_table(spark, place)
+        headers = _headers(spark, place)
+        if headers:
+            return _typed_flow_files(spark, headers)
     raise FileNotFoundError(f"no CSV files in {folder} or {fallback}")
 
 
-def _typed_flow_table(spark: SparkSession, folder: str) -> DataFrame:
-    names = numbered_repeats(next(csv.reader([_first_line(spark, folder)])))
-    kinds = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.schema(kinds).options(header=True, encoding="ISO-8859-1", pathGlobFilter="*.csv").csv(folder)
-    return rows.select(*[
-        from_windows_1252(F.col("Label")).alias("Label") if n == "Label" else F.col(f"`{n}`").try_cast("double").alias(n) for n in names
-    ], F.col("_metadata.file_name").alias("_file_name"))
+def _typed_flow_files(spark: SparkSession, headers: dict[str, str]) -> DataFrame:
+    """One read for all files of equal header, and a union by name of those reads."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, line in headers.items():
+        groups.setdefault(tuple(numbered_repeats([n.strip() for n in next(csv.reader([line]))])), []).append(path)
+    out = None
+    for names, paths in groups.items():
+        kinds = StructType([StructField(n, StringType()) for n in names])
+        rows = spark.read.schema(kinds).options(header=True, encoding="ISO-8859-1", enforceSchema=True).csv(paths)
+        rows = rows.select(*[
+            from_windows_1252(F.col("Label")).alias("Label") if n == "Label" else F.col(f"`{n}`").try_cast("double").alias(n) for n in names
+        ], F.col("_metadata.file_name").alias("_file_name"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def header_compatibility(spark: SparkSession, folder: str) -> DataFrame:
-    """Per file: its header and whether it equals the header of the first file (order counts)."""
-    lines = _lines(spark, folder).select("value", F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("i"))
-    heads = lines.groupBy("file_name").agg(F.min_by("value", "i").alias("header"))
-    clean = F.transform(F.split("header", ","), lambda c: F.btrim(c, F.lit(' "\r\ufeff')))
-    heads = heads.select("file_name", F.array_join(clean, ",").alias("header"))
-    first = heads.agg(F.min_by("header", "file_name").alias("h")).scalar()
-    return heads.withColumn("compatible", F.col("header") == first)
+    """Per CSV file: its header and whether it equals the header of the first file (order counts)."""
+    clean = {path: ",".join(n.strip(' "\r\ufeff') for n in line.split(",")) for path, line in _headers(spark, folder).items()}
+    first = clean[min(clean, key=lambda path: path.rsplit("/", 1)[-1])] if clean else None
+    rows = [(path.rsplit("/", 1)[-1], header, header == first) for path, header in clean.items()]
+    return spark.createDataFrame(rows, "file_name string, header string, compatible boolean")
 
 
 def read_flow_table(spark: SparkSession, parquet_path: str, csv_path: str | None = None) -> DataFrame:
@@ -137,7 +156,7 @@ def read_flow_table(spark: SparkSession, parquet_path: str, csv_path: str | None
     except AnalysisException:
         if csv_path is None:
             raise FileNotFoundError(f"no flow table at {parquet_path}") from None
-        return _typed_flow_table(spark, csv_path).drop("_file_name")
+        return read_directory(spark, csv_path).drop("_file_name")
     return rows.toDF(*numbered_repeats(rows.columns))
 
 

@@ -11,11 +11,10 @@ from flowquarry.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-                            spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
+    session = build_session("tests", "local[3]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+                            spark__ui__showConsoleProgress="false", spark__driver__memory="4g",
+                            checkpoint_dir=tempfile.mkdtemp(prefix="flowquarry-test-"))
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowquarry-test-"))
     yield session
     session.stop()
 
