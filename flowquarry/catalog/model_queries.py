@@ -137,36 +137,33 @@ def _stream(spark, d):
     return STREAM.with_event_time(with_packet_features(V.packets_from_events(source)))
 
 
-STREAM_END = "(SELECT max(Time_ns) // 1000000 FROM packets) - 10000"
+def _finished_stream(spark, d):
+    return STREAM.with_end_of_input(_stream(spark, d), V.feature_packets(spark, d))
 
 
-@query("t02_session_flows", S.with_(S.TRACED, f"""
+@query("t02_session_flows", S.with_(S.TRACED, """
 SELECT ip1 AS Canonical_IP1, ip2 AS Canonical_IP2, p1 AS Canonical_Port1, p2 AS Canonical_Port2, Protocol, count(*) AS Total_Packets, sum(Length)::BIGINT AS Total_Bytes,
        sum(Is_Forward)::BIGINT AS Forward_Packets, min(Time_ns) AS start_ns, max(Time_ns) AS end_ns
-FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub HAVING max(Time_ns) + 120000000000 <= ({STREAM_END}) * 1000000"""))
+FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub"""))
 def _(spark, d):
-    return STREAM.run_to_table(STREAM.session_flows(_stream(spark, d)), "sessions")
+    return STREAM.run_to_table(STREAM.session_flows(_finished_stream(spark, d)), "sessions")
 
 
-@query("t03_second_rates", S.with_(S.PACKETS, f"""
+@query("t03_second_rates", S.with_(S.PACKETS, """
 SELECT Time_ns // 1000000000 AS Time_Int, count(*) AS packets, sum(Length)::DOUBLE / 1024.0 AS kilobytes FROM packets
-GROUP BY 1 HAVING (Time_ns // 1000000000 + 1) * 1000 <= {STREAM_END}"""))
+GROUP BY 1"""))
 def _(spark, d):
-    return STREAM.run_to_table(STREAM.second_rates(_stream(spark, d)), "rates")
+    return STREAM.run_to_table(STREAM.second_rates(_finished_stream(spark, d)), "rates")
 
 
-@query("t04_ordered_flows", S.with_(S.TRACED, f"""
-SELECT ip1 AS Canonical_IP1, ip2 AS Canonical_IP2, CAST(p1 AS VARCHAR) AS Canonical_Port1, CAST(p2 AS VARCHAR) AS Canonical_Port2, Protocol, sub AS Subflow_ID, count(*) AS Total_Packets,
+@query("t04_ordered_flows", S.with_(S.TRACED, """
+SELECT ip1 AS Canonical_IP1, ip2 AS Canonical_IP2, p1 AS Canonical_Port1, p2 AS Canonical_Port2, Protocol, sub AS Subflow_ID, count(*) AS Total_Packets,
        sum(Length)::BIGINT AS Total_Bytes, sum(Is_Forward)::BIGINT AS Forward_Packets, min(Time_ns) AS start_ns, max(Time_ns) AS end_ns,
        sum(iat_ns)::DOUBLE / count(*)::DOUBLE / 1e9 AS Mean_IAT, max(iat_ns)::DOUBLE / 1e9 AS Max_IAT
-FROM traced JOIN (SELECT *, lead(first_ns) OVER (PARTITION BY a, b, c, e, g ORDER BY h) AS next_start FROM (
-  SELECT ip1 AS a, ip2 AS b, p1 AS c, p2 AS e, Protocol AS g, sub AS h, min(Time_ns) AS first_ns FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub))
-  ON ip1 = a AND ip2 = b AND p1 = c AND p2 = e AND Protocol = g AND sub = h
-GROUP BY ip1, ip2, p1, p2, Protocol, sub
-HAVING max(Time_ns) + 120000000000 < ({STREAM_END}) * 1000000 OR any_value(next_start) <= ({STREAM_END}) * 1000000"""))
+FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub"""))
 def _(spark, d):
     STREAM.use_rocksdb(spark)
-    return STREAM.run_to_table(STREAM.ordered_flows(_stream(spark, d)), "ordered")
+    return STREAM.run_to_table(STREAM.ordered_flows(_finished_stream(spark, d)), "ordered")
 
 
 @query("t05_streaming_dedup", S.with_(S.PACKETS, "SELECT Frame_Number, Length FROM packets"))
