@@ -3,11 +3,12 @@
 A document's set is its distinct five-word shingles (ASCII lower case; fewer words: the whole sequence as one; no words:
 empty and never linked). A register is the smallest of exponential hash values of the set, truncated to a power of
 ``BASE``, so that registers of unions are maxima and equal registers tell of similar sets. Documents with equal sets
-form a class at once. Classes that agree on a band of registers share a bucket; a bucket names one member as pivot, and
-members are paired with it, so a group of any size gives as many pairs as members. Pairs whose likeliest Jaccard value is
-far below the threshold go; the others are confirmed on the full sets. After each round only buckets that still hold
-several components are looked at again, with another pivot; in the end all pairs of unlike components in a bucket are
-compared, so that no link within a bucket is lost.
+form a class at once. Classes that agree on a band of registers share a bucket; a bucket names as pivot the member that
+meets most others over all its buckets, and members are paired with it, so a group of any size gives as many pairs as
+members. Pairs whose likeliest Jaccard value is far below the threshold go; the others are confirmed on the full sets.
+A second round takes a pivot outside the first one's component. Buckets that then still hold several components are
+compared in full, by pairs of blocks of bounded size within tasks, which return only links, so that no link within a
+bucket is lost and no list of pairs is made.
 
 Cases: null and empty texts get an empty set, no links, and stay; equal rows are one class; rows that share a doc_id with
 different texts count as one node; a null doc_id never becomes a class's id unless all its rows have none; an empty table
@@ -32,7 +33,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Pairs are verified if the estimate is above the threshold less this: about five standard errors.
 SLACK = 0.15
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
+#: Members of a block, about, and shingles compared at a time, where a bucket is compared in full.
+BLOCK, COLUMNS = 256, 8_192
 CHUNK_BYTES = 1 << 20
 U = np.uint64
 
@@ -232,7 +235,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         labels = labels.drop("was")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, scratch: _Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: _Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,22 +248,68 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     of = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
     sized = F.col("n_a").between(F.col("n_b") * percent / 100, F.col("n_b") * 100 / percent)
     near = scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").where(sized).mapInPandas(likely, "a bigint, b bigint").distinct(), "pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = scratch.keep(full_sets(texts), "sets").dropDuplicates()
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = []
             for left, right in zip(frame["members_a"], frame["members_b"], strict=True):
-                x, y = np.frombuffer(left, dtype=U), np.frombuffer(right, dtype=U)
-                both = np.sort(np.concatenate([x, y]))
+                both = np.sort(np.frombuffer(left + right, dtype=U))
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared) and len(both) > shared)
+                keep.append(100 * shared >= percent * (len(both) - shared) and shared > 0)
             yield frame.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"members_{x}"))
-    return near.join(named("a"), "a").join(named("b"), "b").mapInPandas(exact, "a bigint, b bigint")
+    named = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}"))
+    return near.join(named("a"), "a").join(named("b"), "b").mapInPandas(exact, "a bigint, b bigint").distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of two lists of sorted sets, by products of membership tables of COLUMNS shingles."""
+    known = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    total = np.zeros((len(left), len(right)))
+    for at in range(0, len(known), COLUMNS):
+        part = known[at:at + COLUMNS]
+        tables = []
+        for sets in (left, right):
+            table = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for row, values in enumerate(sets):
+                low, high = np.searchsorted(values, [part[0], part[-1]], side="left")
+                inside = values[low:high + 1]
+                place = np.minimum(np.searchsorted(part, inside), len(part) - 1)
+                table[row, place[part[place] == inside]] = 1
+            tables.append(table)
+        total += tables[0] @ tables[1].T
+    return total
+
+
+def _compared_in_full(crossed: DataFrame, sizes: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between unlike components of a bucket. ``crossed``: bucket, id, component; ``sizes``: bucket, number."""
+    blocks = F.ceil(F.col("number") / BLOCK)
+    dealt = crossed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    keyed = dealt.select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    rows = (keyed.join(classes.select(F.col("class_id").alias("id"), "bands"), "id").join(sets, "id")
+            .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "bands", "members"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["id", "members"])
+        first = frame[frame["block"] == frame["low"].iloc[0]]
+        second = frame[frame["block"] == frame["high"].iloc[0]]
+        if not len(first) or not len(second):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        left, right = ([np.frombuffer(x, dtype=U) for x in part["members"]] for part in (first, second))
+        bucket = frame["bucket"].iloc[0]
+        bands = [np.stack(part["bands"].to_numpy()) for part in (first, second)]
+        place = int(np.flatnonzero(bands[0][0] == bucket)[0])
+        new = first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None, :]
+        for band in range(place):  # a pair that met in an earlier band is compared there
+            new &= bands[0][:, band][:, None] != bands[1][:, band][None, :]
+        if not new.any():
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        shared = shared_counts(left, right)
+        union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - shared
+        i, j = np.nonzero(new & (100 * shared >= percent * union) & (shared > 0))
+        return pd.DataFrame({"a": first["id"].to_numpy()[i], "b": second["id"].to_numpy()[j]})
+
+    return rows.groupBy("bucket", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -271,36 +320,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     filled = sketched.where("n_shingles > 0")
     classes = scratch.keep(filled.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
-    banded = classes.where("class_id is not null").select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("number")).where("number > 1").select("bucket")
-    shared = scratch.keep(banded.join(crowded, "bucket", "left_semi"), "shared")
-    labels = scratch.keep(shared.select("id").distinct().withColumn("component", F.col("id")), "labels")
-    links = None
-    last = None
+    banded = classes.where("class_id is not null").select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
+    crowded = banded.groupBy("bucket").agg(F.count("*").alias("number")).where("number > 1")
+    met = scratch.keep(banded.join(crowded, "bucket"), "met")
+    # how many others a member meets over all its buckets: the middle of a group meets most
+    degrees = met.groupBy("id").agg(F.sum("number").alias("degree"))
+    shared = scratch.keep(met.join(degrees, "id").select("bucket", "id", "number", "degree"), "shared")
+    labels = scratch.keep(degrees.select("id", F.col("id").alias("component")), "labels")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(degrees.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates()  # by the same partitioning
+    sets = scratch.keep(full_sets(texts).withColumnRenamed("doc_id", "id"), "sets")
+    links, pivots = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         placed = shared.join(labels, "id")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("number"),
-                                             (F.min("id") if turn == 0 else F.min_by("id", F.xxhash64(F.lit(turn), "id"))).alias("pivot"),
-                                             (F.min_by("component", "id") if turn == 0 else F.min_by("component", F.xxhash64(F.lit(turn), "id"))).alias("pivot_component"))
-        mixed = scratch.keep(mixed.where("least < most"), "mixed")
-        rows = mixed.agg(F.sum("number")).first()[0]
-        if not rows:
+        if pivots is not None:  # another pivot, outside the component of the last
+            placed = placed.join(pivots, "bucket", "left")
+            free = F.coalesce(F.col("component") != F.col("pivot_component"), F.lit(True))
+        else:
+            free = F.lit(True)
+        rank = F.when(free, F.struct(F.col("degree").alias("degree"), (-F.col("id")).alias("order"), "id", "component"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.first("number").alias("number"), F.max(rank).alias("pivot"))
+        mixed = scratch.keep(mixed.where("least < most").select("bucket", "number", F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("of_pivot")), "mixed")
+        if mixed.isEmpty():
             break
-        finish = turn == PIVOT_ROUNDS or (last is not None and rows > 0.5 * last) or (turn > 0 and rows < 2_000)
-        if finish:  # whatever two components share a bucket is compared in full
-            crossed = scratch.keep(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "crossed")
-            left = crossed.select("bucket", F.col("id").alias("a"), F.col("component").alias("of_a"))
-            right = crossed.select("bucket", F.col("id").alias("b"), F.col("component").alias("of_b"))
-            pairs = left.join(right, "bucket").where("of_a < of_b").select("a", "b")
+        if turn == PIVOT_ROUNDS:
+            crossed = shared.join(labels, "id").join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "id", "component")
+            found = _compared_in_full(crossed, mixed.select("bucket", "number"), classes, sets, percent)
         else:
-            pairs = placed.join(mixed.select("bucket", "pivot", "pivot_component"), "bucket").where("component <> pivot_component").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        found = scratch.keep(_verified(pairs.distinct(), classes, docs, percent, scratch), "links")
-        links = found if links is None else links.unionByName(found)
+            pairs = placed.join(mixed, "bucket").where("component <> of_pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+            found = _verified(pairs.distinct(), classes, sets, percent, scratch)
+        links_now = scratch.keep(found, "links")
+        links = links_now if links is None else links.unionByName(links_now)
         merged = components(links)
         labels = scratch.keep(labels.drop("component").join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
-        if finish:
-            break
-        last = rows
+        pivots = mixed.join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot").select("bucket", "pivot_component")
     known = sketched.select("doc_id", "n_shingles", "set_a", "set_b")
     named = known.join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left")
     reached = named.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
