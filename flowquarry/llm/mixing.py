@@ -95,8 +95,9 @@ def sainte_lague(parties: DataFrame, votes: str, seats: int) -> DataFrame:
 def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
     """``sizes`` (doc_id, source, size, and other columns) with source_size, target, taken, full_copies, cut_words.
 
-    ``taken`` words of a row are ``full_copies`` of it and its first ``cut_words``. ``sizes`` is read more than once.
+    ``taken`` words of a row are ``full_copies`` of it and its first ``cut_words``. ``sizes`` is made once, from the texts.
     """
+    sizes = cut_lineage(sizes)
     targets = source_targets(sizes, weights, most)
     shards = F.ceil(F.col("source_rows") / SHARD_ROWS)
     known = sizes.join(targets, _is(sizes["source"], targets["source"])).drop(targets["source"])
@@ -161,8 +162,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     single = taken(keyed, plan.where("__rows = 1"))
     again = plan.where("__rows > 1")
-    repeated = taken(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "source", "__text_key"]), again)
-    both = single.unionByName(repeated)
+    both = single
+    if not again.isEmpty():  # else the texts need not be moved a second time
+        both = single.unionByName(taken(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "source", "__text_key"]), again))
     cut = F.when(F.col("__keep") > 0, first_words("text", "__keep")).otherwise(F.col("text"))
     both = both.withColumn("text", cut)
     if "n_chars" in names:
