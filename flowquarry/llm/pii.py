@@ -60,7 +60,7 @@ def luhn(digits: Column) -> Column:
         places = F.sequence(F.lit(1), F.length(text))
         return F.aggregate(places, F.lit(0), lambda acc, i: acc + let(
             F.substr(text, F.length(text) - i + 1, F.lit(1)).cast("int"), lambda d: F.when(i % 2 == 1, d).otherwise(F.when(d > 4, d * 2 - 9).otherwise(d * 2))))
-    return let(digits, lambda d: value(d) % 10 == 0)
+    return let(digits, lambda d: F.when(F.length(d) > 0, value(d) % 10 == 0).otherwise(True))
 
 
 def base_spans(text: Column) -> Column:
