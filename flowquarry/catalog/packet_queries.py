@@ -251,7 +251,7 @@ SELECT Frame_Number, IAT, round(avg(Length) OVER (ORDER BY Time_ns, Frame_Number
        round(avg(Instant_Packet_Rate) OVER w, 2) AS Rolling_Packet_Rate, round(avg(Instant_Bytes_Per_Sec) OVER w, 1) AS Rolling_Bytes_Per_Sec
 FROM rates WINDOW w AS (ORDER BY Time_ns, Frame_Number ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""))
 def _(spark, d):
-    out = ordered.capture_features(V.packets(spark, d), block_rows=5_000)
+    out = ordered.capture_features(V.packets(spark, d))
     out = round_to(round_to(round_to(out, 6, "Running_Avg_Length", "Moving_Avg_Length"), 4, "Rolling_Std_Length"), 2, "Rolling_Packet_Rate")
     return round_to(out, 1, "Rolling_Bytes_Per_Sec").select(
         "Frame_Number", "IAT", "Running_Avg_Length", "Moving_Avg_Length", "Rolling_Std_Length", "Rolling_Packet_Rate", "Rolling_Bytes_Per_Sec")

@@ -561,7 +561,7 @@ CURVE = CURVE.replace("sum(positives) OVER w::BIGINT", "(sum(positives) OVER w):
 
 @query("w09_m16_curve_points", S.with_(CURVE, "SELECT threshold, tp, fp, tpr, fpr, precision FROM points"))
 def _(spark, d):
-    return EV.curve_points(judged(spark, d), "score", "y", block_rows=10_000).select("threshold", "tp", "fp", "tpr", "fpr", "precision")
+    return EV.curve_points(judged(spark, d), "score", "y").select("threshold", "tp", "fp", "tpr", "fpr", "precision")
 
 
 @query("m15_roc_auc_and_average_precision", S.with_(CURVE, """

@@ -60,7 +60,6 @@ FLOW37_COLUMNS = [
     "SYN_Count", "ACK_Count", "FIN_Count", "RST_Count", "URG_Count", "PSH_Count", "ECE_Count", "CWR_Count",
     "SYN_ACK_Ratio", "FIN_ACK_Ratio", "RST_Ratio",
 ]
-FLOW37_METADATA = ["FlowID", "Source_IP", "Destination_IP", "Source_Port", "Destination_Port", "Protocol"]
 
 # --- fixed values: the 32 directional flow features -------------------------------------
 FLOW32_FEATURES = [
@@ -83,7 +82,6 @@ NON_NEGATIVE_COLUMNS = [
     "Flow Duration", "Flow Bytes/s", "Flow Packets/s",
     "Flow IAT Mean", "Flow IAT Max", "Flow IAT Min", "Fwd IAT Min",
 ]
-SENTINEL_COLUMNS = ["Init_Win_bytes_forward", "Init_Win_bytes_backward"]
 
 # --- fixed values: label families, first match wins -------------------------------------
 BENIGN = "BENIGN"

@@ -213,12 +213,3 @@ def clip_negative(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def zero_unusable(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(C.finite(F.col(f"`{c}`")), F.lit(0.0)) for c in cols})
-
-
-def clean_labelled(df: DataFrame, features: list[str], overflow: list[str] | None = None,
-                   non_negative: list[str] | None = None) -> DataFrame:
-    """Deduplicate, impute, repair overflow, clip negatives, in this order."""
-    rows = drop_exact_duplicates(df)
-    rows = impute_median(rows, features)
-    rows = repair_overflow(rows, overflow)
-    return clip_negative(rows, non_negative)

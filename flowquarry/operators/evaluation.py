@@ -21,8 +21,8 @@ def stratified_split(df: DataFrame, stratum: str, keys: list[str], seed: int = 4
     rows = numbered(hashed, [F.col(stratum), F.col("_h"), *[F.col(f"`{k}`") for k in keys]])
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"), F.min("_rn").alias("_first"))
     place = F.col("_rn") - F.col("_first")
-    # one row per stratum; strata are classes
-    return rows.join(F.broadcast(sizes), stratum).withColumn(
+    # one row per stratum; adaptive execution sees whether it is small enough to broadcast
+    return rows.join(sizes, stratum).withColumn(
         name,
         F.when(place < F.round(F.col("_size") * shares[0]), "train")
         .when(place < F.round(F.col("_size") * shares[1]), "validation").otherwise("test"),
@@ -54,7 +54,7 @@ def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight")
     """n / (classes x class size), as one row per class joined back."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     totals = sizes.agg(F.struct(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
-    return df.join(F.broadcast(sizes), label).withColumn(name, totals["n"] / (totals["k"] * F.col("_c"))).drop("_c")
+    return df.join(sizes, label).withColumn(name, totals["n"] / (totals["k"] * F.col("_c"))).drop("_c")
 
 
 # --- metrics ---------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, MapType
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -18,9 +18,17 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, files_each: int = 16) -> str:
+    """Parquet, optionally in folders by column values, with at most ``files_each`` files a folder.
+
+    Rows are first gathered by value and a salt, so that not every task writes a file into every folder and a value that
+    holds most rows is still written by several tasks.
+    """
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, MapType)]), F.lit(files_each)))
+    salted.repartition(*[F.col(f"`{c}`") for c in partition_by], "_salt").drop("_salt").write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 
 
