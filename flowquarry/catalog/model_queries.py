@@ -48,7 +48,19 @@ def _(spark, d):
     return isolation.one_class_svm(rows, cols, ["FlowID"], OPT.nu, OPT.svm_features, seed=OPT.seed).select("FlowID", "OneClassSVM_Pred")
 
 
-@query("m06_dbscan")
+_Z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)" for c in fixed.FLOW37_COLUMNS[6:])
+DBSCAN = S.FLOWS + f""",
+pts AS (SELECT FlowID AS id, [{_Z}] AS v FROM flows),
+near AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON list_distance(a.v, b.v) <= {OPT.eps}),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {OPT.min_points}),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.id JOIN core c ON c.id = n.b WHERE r.root <= n.b),
+comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+clusters AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM comp),
+border AS (SELECT n.a AS id, min(k.cluster) AS cluster FROM near n JOIN clusters k ON k.id = n.b GROUP BY n.a)"""
+
+
+@query("m06_dbscan", S.with_(DBSCAN, """
+SELECT id AS FlowID, coalesce(clusters.cluster, border.cluster, -1)::INT AS DBSCAN_Cluster FROM pts LEFT JOIN clusters USING (id) LEFT JOIN border USING (id)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     rows, cols = scaled_flows(spark, d)
     return density.dbscan(rows, cols, "FlowID", OPT.eps, OPT.min_points).select("FlowID", "DBSCAN_Cluster")
