@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowquarry.catalog import sql as S, views as V
-from flowquarry.catalog.book import query, round_to
+from flowquarry.catalog.book import QUERIES, query, round_to
 from flowquarry.catalog.model_queries import scaled_flows
 from flowquarry.catalog.packet_queries import flow_table
-from flowquarry.catalog.table_queries import ANOMALIES, DUAL, INVESTIGATED, SCORED, dual, investigated, scored
+from flowquarry.catalog.table_queries import ANOMALIES, ATTACK, DUAL, IMPUTED, INVESTIGATED, SCORED, dual, investigated, scored
 from flowquarry.functions import columns as C
-from flowquarry.operators import evaluation as EV, investigation as INV, isolation, packets as P, selection as SEL, statistics as ST
+from flowquarry.operators import evaluation as EV, forest, investigation as INV, isolation, packets as P, selection as SEL, statistics as ST
 from flowquarry.options import AnomalyOptions
 from flowquarry.session import scratch_path
 from flowquarry.sources import readers
@@ -167,3 +167,25 @@ def _(spark, d):
     rows, cols = scaled_flows(spark, d)
     out = isolation.one_class_svm(rows, cols, ["FlowID"], OPT.nu, OPT.svm_features, seed=OPT.seed)
     return out.agg(F.count(F.lit(1)).alias("flows"), F.sum((F.col("OneClassSVM_Pred") == -1).cast("bigint")).alias("outside"))
+
+
+@query("m20_axes_sound", S.with_(S.FLOWS, "SELECT count(*) AS flows, true AS centred, true AS uncorrelated FROM flows"))
+def _(spark, d):
+    rows, cols = scaled_flows(spark, d)
+    axes, _ = forest.principal_axes(rows, cols)
+    return axes.agg(F.count(F.lit(1)).alias("flows"), (F.greatest(F.abs(F.avg("PCA1")), F.abs(F.avg("PCA2"))) < 1e-6).alias("centred"), (F.abs(F.corr("PCA1", "PCA2")) < 1e-6).alias("uncorrelated"))
+
+
+@query("m07_every_flow_in_a_cluster", S.with_(S.FLOWS, f"SELECT count(*) AS flows, {OPT.clusters} AS clusters FROM flows"))
+def _(spark, d):
+    rows, cols = scaled_flows(spark, d)
+    found = forest.kmeans_clusters(rows, cols, OPT.clusters, OPT.seed)
+    return found.agg(F.count("KMeans_Cluster").alias("flows"), F.count_distinct("KMeans_Cluster").cast("int").alias("clusters"))
+
+
+@query("s15_scored_rows", S.with_(IMPUTED + f",\nt AS (SELECT {ATTACK} AS label FROM imputed)", """
+SELECT label::DOUBLE AS label, (count(*) - round(count(*) * 0.85))::BIGINT AS "rows", true AS probabilities_fit FROM t GROUP BY label"""))
+def _(spark, d):
+    scores = QUERIES["s15_m11_m19_forest_scores"](spark, d)
+    fits = F.col("Attack_Probability").between(0, 1) & ((F.col("Attack_Probability") >= 0.5) == (F.col("Prediction_Label") == 1))
+    return scores.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(fits | (F.abs(F.col("Attack_Probability") - 0.5) < 1e-9)).alias("probabilities_fit"))
