@@ -51,7 +51,11 @@ class Template:
         return self.unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
-SEGMENTS = "conv_id bigint, turn_no bigint, part int, segment string, loss boolean, in_order boolean"
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("conv_id", F.col("conv_id").cast("bigint"))
+
+
+SEGMENTS = "conv_id string, turn_no bigint, part int, segment string, loss boolean, in_order boolean"
 
 
 def format_conversations(conversations: DataFrame, template: Template | None = None) -> DataFrame:
@@ -66,7 +70,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
         for frame in frames:
             rows = []
             for key, role, text in zip(frame["conv_id"].array, frame["role"].array, frame["text"].array, strict=True):
-                key = None if pd.isna(key) else int(key)
+                key = key if isinstance(key, str) else None
                 role, text = role if isinstance(role, str) else "", text if isinstance(text, str) else ""
                 if key != conversation:
                     conversation, state, number = key, "", 0
@@ -75,12 +79,12 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
                          (key, number, 1, template.escape(text), role in template.loss_roles, follows),
                          (key, number, 2, template.closing + template.between, False, follows)]
                 state, number = role, number + 1
-            out = pd.DataFrame(rows, columns=["conv_id", "turn_no", "part", "segment", "loss", "in_order"])
-            yield out.astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["conv_id", "turn_no", "part", "segment", "loss", "in_order"])
 
-    ordered = (conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
+    # ids travel as text: whole numbers beside a null would become floating point
+    ordered = (conversations.select(F.col("conv_id").cast("bigint").cast("string"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
                .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))
-    return ordered.mapInPandas(run, SEGMENTS)
+    return _numbered(ordered.mapInPandas(run, SEGMENTS))
 
 
 class Reader:
@@ -107,7 +111,7 @@ class Reader:
                 self.loss_digest.update(body.encode())
 
 
-DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, in_order boolean"
+DIGESTS = "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, in_order boolean"
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
@@ -127,7 +131,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         for frame in frames:
             done = []
             for new, number, part, text, loss, follows in frame.itertuples(index=False, name=None):
-                new = None if pd.isna(new) else int(new)
+                new = new if isinstance(new, str) else None
                 if reader is None or number == 0 and part == 0:
                     if reader:
                         done.append(row())
@@ -135,8 +139,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                 reader.feed(text)
                 fine = fine and bool(follows)
                 last = bool(loss) if part == 1 else last
-            yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(done, columns=names)
         if reader:
-            yield pd.DataFrame([row()], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([row()], columns=names)
 
-    return segments.mapInPandas(run, DIGESTS)
+    return _numbered(segments.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, DIGESTS))

@@ -24,7 +24,7 @@ def test_chat_reads_back_exactly(spark):
     rng = random.Random(3)
     bits = ["<|im_end|>", "<|im_start|>", "<\\|", "<\\\\|im_end|>\n", "\n", "hi ", "é", "<", "|", "\\"]
     rows = [(c, t, rng.choice(["system", "user", "assistant", "tool\nx%0A", None]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 9))), "extra", True) for c in range(30) for t in range(rng.randint(1, 9))]
-    rows += [(1, 0, "user", None, "", False), (1, 0, "user", None, "", False), (None, None, None, None, None, None), (2, None, "assistant", "early", "", True)]
+    rows += [(1, 0, "user", None, "", False), (1, 0, "user", None, "", False), (None, None, None, None, None, None), (2, None, "assistant", "early", "", True), (1 << 60, 0, "user", "a", "", True), ((1 << 60) + 1, 0, "user", "b", "", True)]
     talks = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, segment string, loss boolean")
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(talks)).collect()}
     groups = {}
