@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 #: The word pattern of byte-level byte-pair vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_ENTRIES = 250_000
-#: Longer than any token, so that a token never reaches before the first byte of a longer prefix.
-SHORT = 160
+#: Prefixes up to this many bytes are shared between pieces; Recent keeps keys of up to 64.
+SHORT = 48
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, n_chars bigint, cut_chars bigint, prefix_deltas binary"
 
 
@@ -118,9 +118,12 @@ class BytePairs:
     def _long_ending(self, data: bytes, ends: list[tuple[bytes, int]], stop: int) -> tuple[bytes, int]:
         """Last token of the first ``stop`` bytes and their count; ``ends`` has the same for all shorter prefixes."""
         for size in (*self.endings.get(data[stop - 3:stop], ()), 2, 1):
-            token = data[stop - size:stop]
-            if token in self.ranks and (size == 1 or self.follows[ends[stop - size - 1][0], token]):
-                return token, ends[stop - size - 1][1] + 1
+            token = data[max(0, stop - size):stop]
+            if size < stop:
+                if token in self.ranks and (size == 1 or self.follows[ends[stop - size - 1][0], token]):
+                    return token, ends[stop - size - 1][1] + 1
+            elif size == stop and token in self.ranks:
+                return token, 1
         raise ValueError("a byte is missing from the vocabulary")
 
     def _prefix_end(self, data: bytes) -> tuple[bytes, int]:
