@@ -9,6 +9,9 @@ from flowquarry.llm import mixing, near_dup, packing, pii, quality_cnn
 from flowquarry.llm.queries import TOKENIZER
 from flowquarry.session import scratch_path
 
+#: Documents are near copies if their sets of five-word shingles have a similarity of so many hundredths or more.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on the labels of ``sf_dir``, takes for good ones."""
@@ -21,7 +24,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows without a doc_id cannot be named by their group and stay.
     """
-    keep = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    keep = near_dup.near_duplicates(docs, NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
     chosen = docs.join(keep, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
     named = chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -18,6 +18,7 @@ gives an empty table; only doc_id and text are read, so other columns do not cla
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from flowquarry.session import scratch_path
 WORDS = 5
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
+#: A pair at the threshold shares no band with this chance at most; lower thresholds get more bands for it.
+MISSED = 1.2e-5
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Pairs are verified if the estimate is above the threshold less this: about five standard errors.
 SLACK = 0.15
@@ -47,12 +50,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=4)
+def _tables(registers: int = REGISTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
     octets = rng.integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
-    factors = rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    offsets = rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+    factors = rng.integers(0, 1 << 31, registers, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    offsets = rng.integers(0, 1 << 32, registers, dtype=np.uint32)
     return octets, factors, offsets
 
 
@@ -124,10 +127,16 @@ def _chunk_sets(chunk: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def set_minima(values: np.ndarray) -> np.ndarray:
+def band_count(percent: int) -> int:
+    """Bands that a threshold needs."""
+    meet = (percent / 100) ** ROWS
+    return BANDS if meet >= 1 else max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-meet)))
+
+
+def set_minima(values: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Smallest hash of a set for each register, as 32-bit numbers."""
-    _, factors, offsets = _tables()
-    low = np.full(REGISTERS, 0xFFFFFFFF, dtype=np.uint32)
+    _, factors, offsets = _tables(registers)
+    low = np.full(registers, 0xFFFFFFFF, dtype=np.uint32)
     narrow = (values >> U(32)).astype(np.uint32)
     for at in range(0, len(narrow), 512):
         table = narrow[at:at + 512, None] * factors
@@ -165,7 +174,7 @@ def jaccard_estimates(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, registers binary"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """Per row: size and 128-bit digest of its set, band keys, registers. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +182,12 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch["text"].to_pylist())
             if not sets:
                 continue
-            low = np.array([set_minima(x) for x in sets])
+            low = np.array([set_minima(x, bands * ROWS) for x in sets])
             registers = registers_of(low)
-            keys = np.zeros((len(sets), BANDS), dtype=U)
+            keys = np.zeros((len(sets), bands), dtype=U)
             for j in range(ROWS):
-                keys = _mix(keys + registers.reshape(len(sets), BANDS, ROWS)[:, :, j].astype(U) + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            keys = _mix(keys + np.arange(BANDS, dtype=U))
+                keys = _mix(keys + registers.reshape(len(sets), bands, ROWS)[:, :, j].astype(U) + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            keys = _mix(keys + np.arange(bands, dtype=U))
             a = np.array([_mix(x).sum(dtype=U) for x in sets], dtype=U)
             b = np.array([_mix(x ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U) for x in sets], dtype=U)
             yield pa.RecordBatch.from_arrays([
@@ -316,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id (least doc_id with an equal set), component_id, kept."""
     spark = docs.sparkSession
     scratch = _Scratch(spark)
-    sketched = scratch.keep(sketches(docs), "sketches")
+    sketched = scratch.keep(sketches(docs, band_count(percent)), "sketches")
     filled = sketched.where("n_shingles > 0")
     classes = scratch.keep(filled.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")

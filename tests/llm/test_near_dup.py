@@ -76,3 +76,16 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101 + i) for i in range(50)]
     got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 151)}
+
+
+def test_pipeline_links_pairs_from_80_percent(spark):
+    import corpus_pipeline
+
+    texts = []
+    for n, (size, step) in enumerate([(200, 17), (200, 20), (200, 22), (180, 20), (200, 23), (200, 10), (400, 40), (90, 9), (36, 4)] * 4):  # (size - step) / (size + step) alike
+        words = [f"p{n}x{i}" for i in range(size + step + 4)]
+        texts += [" ".join(words[:size + 4]), " ".join(words[step:])]
+    docs = spark.createDataFrame([(i, t, None, None, None, 0, "", "", 0, 0, 0.0) for i, t in enumerate(texts)], DOCS)
+    want = {d for d, _, _, kept in brute(docs.collect(), 80) if kept}
+    assert len(want) == len(texts) - 32 and {r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect()} == want
+    assert near_dup.band_count(85) == near_dup.BANDS and (1 - 0.8 ** near_dup.ROWS) ** near_dup.band_count(80) < 1.3e-5
