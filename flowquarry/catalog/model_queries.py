@@ -87,7 +87,7 @@ def _forest(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         start = time.monotonic()
-        model = forest.train_forest(_split(spark, d).filter("split = 'train'"), L, depth=10)
+        model = forest.train_forest(_split(spark, d).filter("split = 'train'"), L)
         _SECONDS[key] = time.monotonic() - start
         _MODELS[key] = forest.save_model(model, scratch_path(spark, "forest"))
     return forest.load_model(_MODELS[key])
@@ -119,7 +119,7 @@ def _(spark, d):
 
 @query("r07_feature_table")
 def _(spark, d):
-    return labelled_study.feature_analysis(imputed(spark, d), V.labelled(spark, d), L, trees=20, depth=8)
+    return labelled_study.feature_analysis(imputed(spark, d), V.labelled(spark, d), L)
 
 
 @query("m20_principal_axes")
@@ -134,7 +134,7 @@ def _(spark, d):
     families = {f: i for i, f in enumerate(["BENIGN", "DoS", "Brute Force", "Web Attack", "Botnet", "Port Scan"])}
     number = F.element_at(F.create_map(*[F.lit(x) for f, i in families.items() for x in (f, float(i))]), C.attack_family(F.col("Original_Label")))
     rows = _split(spark, d).withColumn("family", number)
-    model = forest.train_network(rows.filter("split = 'train'"), L, "family", len(families), iterations=20)
+    model = forest.train_network(rows.filter("split = 'train'"), L, "family", len(families))
     return model.transform(rows.filter("split = 'test'")).groupBy("family", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -1,5 +1,6 @@
 """Unsupervised models by property, DBSCAN against brute force, saved models, streaming against batch."""
 
+import inspect
 import os
 import time
 
@@ -110,3 +111,32 @@ def test_ordered_flows_across_batches(spark, folder):
     stream = _batches(spark, folder, [[_packet(2, 6), _packet(1, 0)], [_packet(3, 12, "b", "a"), _packet(4, 150)], [_packet(5, 900)]])
     out = sorted((r.Subflow_ID, r.Total_Packets, r.Forward_Packets, r.Max_IAT) for r in STREAM.run_to_table(STREAM.ordered_flows(stream), "o").collect())
     assert out == [(0, 3, 2, 6.0), (1, 1, 1, 0.0)]
+
+
+@pytest.mark.parametrize("name, trainer, size", [
+    ("m11_forest_test_metrics", "train_forest", {"trees": 200, "depth": 30}), ("s15_m11_m19_forest_scores", "train_forest", {"trees": 200, "depth": 30}),
+    ("e3_capture_scoring", "train_forest", {"trees": 200, "depth": 30}), ("r07_feature_table", "train_forest", {"trees": 100, "depth": 15}),
+    ("m21_multiclass_network", "train_network", {"iterations": 100})])
+def test_registered_models_are_of_full_size(spark, monkeypatch, name, trainer, size):
+    from flowquarry.catalog import QUERIES, model_queries
+    from flowquarry.plans import capture_study
+
+    class Asked(Exception):
+        pass
+
+    signature = inspect.signature(getattr(forest, trainer))
+
+    def train(*args, **more):
+        bound = signature.bind(*args, **more)
+        bound.apply_defaults()
+        raise Asked({k: bound.arguments[k] for k in size})
+
+    rows = spark.createDataFrame([("train", "BENIGN", "BENIGN", 0, 1)], "split string, Original_Label string, Label string, `FIN Flag Count` int, `ACK Flag Count` int")
+    monkeypatch.setattr(forest, trainer, train)
+    for place, function in ((model_queries, "_split"), (model_queries, "imputed"), (model_queries.V, "labelled"), (model_queries.V, "feature_packets")):
+        monkeypatch.setattr(place, function, lambda *_: rows)
+    monkeypatch.setattr(capture_study.FL, "flow32", lambda packets: packets)
+    monkeypatch.setattr(capture_study, "cut_lineage", lambda df: df)
+    with pytest.raises(Asked) as asked:
+        QUERIES[name](spark, "nowhere")
+    assert asked.value.args == (size,)
