@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowquarry.llm import mixing, near_dup, packing, pii, quality_cnn
 from flowquarry.llm.queries import TOKENIZER
+from flowquarry.llm.text import NO_SPACE
 from flowquarry.session import scratch_path
 
 #: Documents are near copies if their sets of five-word shingles have a similarity of so many hundredths or more.
@@ -20,15 +21,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of least doc_id, and of equal ids its least row.
+    """One document of each group of near copies: that of least doc_id, nulls last, and of equal ones its least row.
 
-    Rows without a doc_id cannot be named by their group and stay.
+    Groups are made of texts, so a row without a doc_id goes like any other if a copy of it stays. Of rows that share a
+    doc_id only one can stand for it: that of least text hash, also where their texts are unlike. Rows without words are
+    like no other, but of those that agree in doc_id and text one stays. What stays is chosen from narrow rows.
     """
-    keep = near_dup.near_duplicates(docs, NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
+    key = F.xxhash64("text")
+    keyed = docs.withColumns({"__key": key, "__place": F.coalesce(F.col("doc_id").cast("bigint"), key)})
+    groups = (near_dup.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), NEAR_PERCENT)
+              .groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("__group")))
+    alone = F.when(F.coalesce(F.col("text").rlike(NO_SPACE), F.lit(False)), F.lit(None)).otherwise(F.col("doc_id"))
+    narrow = keyed.select("doc_id", "__key", "__place", alone.alias("__alone"))
+    one = narrow.groupBy("__place", F.col("doc_id").isNull().alias("__null")).agg(F.min(F.struct("__key", "doc_id", "__alone")).alias("row")).select("__null", "row.*")
+    least = F.min(F.struct("__null", "doc_id", "__key")).alias("row")  # first for each text, then for each group of texts
+    of_texts = one.groupBy("__key", "__alone").agg(least).select("__key", "__alone", "row.__null", "row.doc_id")
+    keep = (of_texts.join(groups, "__key").groupBy("__group", "__alone").agg(least).select("row.*")
+            .select(F.coalesce(F.col("doc_id").cast("bigint"), "__key").alias("__place"), "__key", F.col("__null")))
     rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = docs.join(keep, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    named = chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
-    return named.unionByName(docs.where("doc_id is null"))
+    chosen = (keyed.join(keep, ["__place", "__key"]).where(F.col("doc_id").isNull() == F.col("__null"))
+              .groupBy("__place", "__key", "doc_id").agg(F.min(F.struct(*rest)).alias("row")))
+    return chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,16 @@ def test_pipeline_links_pairs_from_80_percent(spark):
     want = {d for d, _, _, kept in brute(docs.collect(), 80) if kept}
     assert len(want) == len(texts) - 32 and {r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect()} == want
     assert near_dup.band_count(85) == near_dup.BANDS and (1 - 0.8 ** near_dup.ROWS) ** near_dup.band_count(80) < 1.3e-5
+
+
+def test_pipeline_keeps_one_row_of_each_group_without_ids(spark):
+    import corpus_pipeline
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a").upper()), (None, text("b")), (7, text("b")), (9, text("b")), (None, text("c")), (None, " "), (None, " "), (4, " "), (5, " "), (None, None),
+            (3, text("d")), (3, text("e")), (8, text("d")), (8, text("d")), (10, text("e"))]
+    docs = spark.createDataFrame([(i, t, None, None, None, 0, "", "", 0, 0, 0.0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, (r.text or "none").lower()) for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect())
+    by_name = Counter(t[0] for _, t in got.elements())
+    assert by_name["a"] == by_name["b"] == by_name["c"] == by_name["d"] == by_name["e"] == 1 and got[7, text("b")] == got[None, text("c")] == 1
+    assert {k: n for k, n in got.items() if k[1] in (" ", "none")} == {(None, " "): 1, (4, " "): 1, (5, " "): 1, (None, "none"): 1}
