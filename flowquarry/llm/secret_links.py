@@ -3,8 +3,9 @@
 Strong findings (assigned values, access identifiers, long hexadecimal runs) are reported wherever they stand. Weak
 candidates are reported only where parts complement each other: a weak secret near an identifier or an endpoint, a weak
 identifier near a secret. Parts meet in an interval join within a document: scopes of SCOPE code points are numbered,
-each part is entered for its own scope and both neighbours, and candidates are kept by a semi-join on document and scope
-under a limit on the distance, so no pairs are made.
+each candidate is entered for every scope it covers, each part for every scope that it covers when widened by SCOPE on both
+sides, and candidates are kept by a semi-join on document and scope under a limit on the gap from the end of one to the
+start of the other, so no pairs are made.
 
 Cases: null and empty texts have no findings; equal rows are scanned alike and each is returned; rows that share a doc_id
 with different texts are kept apart by a hash of the text; a null doc_id is a document like any other; an empty table
@@ -74,12 +75,12 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     each = some.select("doc_id", "text_key", F.explode(F.concat(
         role("secret", F.col("assign")), role("secret", F.col("hex")), role("id", F.col("access")), role("endpoint", F.col("endpoint")),
         role("weak_secret", F.col("weak_secret")), role("weak_id", F.col("weak_id")))).alias("part")).select("doc_id", "text_key", "part.*").distinct()
-    cell = F.floor(F.col("start") / scope)
-    weak = each.where(F.col("role").startswith("weak")).withColumn("cell", cell)
+    cells = lambda widened: F.explode(F.sequence(F.floor((F.col("start") - widened) / scope), F.floor((F.col("stop") + widened) / scope)))
+    weak = each.where(F.col("role").startswith("weak")).select("*", cells(0).alias("cell"))
     near = each.select(F.col("doc_id").alias("n_doc"), F.col("text_key").alias("n_key"), F.col("role").alias("n_role"), F.col("start").alias("n_start"), F.col("stop").alias("n_stop"),
-                       F.explode(F.array(cell - 1, cell, cell + 1)).alias("n_cell"))
+                       cells(scope).alias("n_cell"))
     joins = (weak["doc_id"].eqNullSafe(near["n_doc"]) & (weak["text_key"] == near["n_key"]) & (weak["cell"] == near["n_cell"])
-             & (F.abs(weak["start"] - near["n_start"]) <= scope)
+             & (near["n_start"] - weak["stop"] <= scope) & (weak["start"] - near["n_stop"] <= scope)
              & F.when(weak["role"] == "weak_secret", near["n_role"].isin("id", "weak_id", "endpoint")).otherwise(near["n_role"].isin("secret", "weak_secret")))
     linked = (weak.join(near, joins, "left_semi").withColumn("kind", F.when(F.col("role") == "weak_secret", "secret").otherwise("identifier"))
               .groupBy(F.col("doc_id").alias("l_doc"), F.col("text_key").alias("l_key")).agg(F.collect_set(F.struct("start", "stop", "kind")).alias("linked")))

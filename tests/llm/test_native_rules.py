@@ -118,6 +118,16 @@ def test_secrets_and_links(spark):
     assert secret_links.find_secrets(no_documents(spark)).count() == 0
 
 
+def test_links_go_by_the_gap_between_parts(spark):
+    long_ = "aB3" * 133 + "x"
+    texts = [f"token={long_} client_id=abc", f"client_id=abc {long_} https://a.b/c", f"{long_}{' ' * 240}client_id=abc", f"{long_}{' ' * 241}client_id=abc",
+             f"client_id=abc{' ' * 240}{long_}", f"client_id=abc{' ' * 241}{long_}", f"client_id={'xyz' * 400} passwd=hunter2", f"https://a.b/{'c' * 900} {long_}"]
+    found = secret_links.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r.doc_id: r.spans for r in found.select("doc_id", secret_links.listed(F.col("linked")).alias("spans")).collect()}
+    assert got == {0: "identifier:407:420", 1: "identifier:0:13,secret:14:414", 2: "secret:0:400,identifier:640:653", 3: "", 4: "identifier:0:13,secret:253:653", 5: "",
+                   6: "identifier:0:1210,secret:1211:1225", 7: "secret:913:1313"}
+
+
 @pytest.mark.parametrize("digits", ["4111111111111111", "4111111111111112", "0", ""])
 def test_check_sum(spark, digits):
     assert spark.range(1).select(pii.luhn(F.lit(digits)).alias("x")).first().x == luhn(digits)
