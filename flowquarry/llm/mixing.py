@@ -5,7 +5,7 @@ The mix is cut into blocks of equal size. Parties are the shards of the sources,
 source's target; every block goes to the highest quotient votes / (2 * seats + 1). A divisor d with
 sum(round(votes / d)) = blocks gives the same seats, and is found by sums over the shards alone, many trial divisors in
 one pass, so no list of quotients is ever gathered. In each shard documents stand in a seeded order, are cut into blocks
-end to end, and the shard's seats take whole rounds of its blocks, then its first blocks in that order.
+end to end, and the words of the shard's seats take whole copies of it, then its first words in that order.
 
 Cases: null and empty texts have size 0 and give nothing; a null source is a source of its own, after all others; equal
 rows are rows of their own; ties of quotients are broken by a seeded hash; an empty table gives an empty table; columns
@@ -108,10 +108,9 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, s
                           .withColumn("tie", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.lit(1 << 20)) / float(1 << 20)))
     every = parties.agg(F.sum("votes")).first()[0] or 0.0
     seats = sainte_lague(parties, "votes", math.floor(every / block + 0.5))
-    blocks = F.ceil(F.col("shard_size") / block)
-    quota = F.least(F.col("seats"), blocks * most)
-    rounds = F.floor(quota / blocks)
-    quotas = seats.select(F.col("source").alias("party_source"), F.col("shard").alias("party_shard"), rounds.alias("rounds"), ((quota - rounds * blocks) * block).alias("rest_words"))
+    quota = F.least(F.col("seats") * block, F.col("shard_size") * most)  # in words, as a shard's last block may be a short one
+    rounds = F.floor(quota / F.col("shard_size"))
+    quotas = seats.select(F.col("source").alias("party_source"), F.col("shard").alias("party_shard"), rounds.alias("rounds"), (quota - rounds * F.col("shard_size")).alias("rest_words"))
     row = Window.partitionBy("source", "shard").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("before", F.coalesce(F.sum("size").over(row), F.lit(0)))
     out = placed.join(quotas, _is(placed["source"], quotas["party_source"]) & (placed["shard"] == quotas["party_shard"]), "left")

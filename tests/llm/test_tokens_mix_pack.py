@@ -77,6 +77,13 @@ def test_mixing_targets_and_takes(spark):
     assert mixing.mix(mixing.document_sizes(no_documents(spark))).count() == 0
 
 
+def test_small_sources_reach_their_targets(spark):
+    sizes = [(1, "a", 33), (2, "b", 10), (3, "b", 0), (4, "c", 50), (5, "c", 15), (6, "d", 100_000)]
+    got = mixing.mix(spark.createDataFrame(sizes, "doc_id bigint, source string, size bigint"), weights=(1,)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert {r.source: r.target for r in got if r.source != "d"} == {"a": 99.0, "b": 30.0, "c": 195.0}
+    assert all(abs(r.taken - r.target) <= mixing.BLOCK_WORDS / 2 for r in got) and {r.source: r.taken for r in got if r.source != "d"} == {"a": 96, "b": 30, "c": 192}
+
+
 def test_seats_are_the_highest_quotients(spark):
     votes = [(str(i), float(v), i / 40) for i, v in enumerate([53, 24, 23, 10, 10, 10, 1, 0.5, 200, 200])]
     got = {r.p: r.seats for r in mixing.sainte_lague(spark.createDataFrame(votes, "p string, votes double, tie double"), "votes", 57).collect()}
