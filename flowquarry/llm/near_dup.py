@@ -188,25 +188,28 @@ def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
             for j in range(ROWS):
                 keys = _mix(keys + registers.reshape(len(sets), bands, ROWS)[:, :, j].astype(U) + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
             keys = _mix(keys + np.arange(bands, dtype=U))
-            a = np.array([_mix(x).sum(dtype=U) for x in sets], dtype=U)
-            b = np.array([_mix(x ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U) for x in sets], dtype=U)
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *_digests(sets),
                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in registers], pa.binary())],
                 ["doc_id", "n_shingles", "set_a", "set_b", "bands", "registers"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """The 128-bit digest of each set, in two halves."""
+    return tuple(pa.array(np.array([_mix(x ^ U(salt)).sum(dtype=U) for x in sets], dtype=U).view(np.int64)) for salt in (0, 0xA5A5A5A5A5A5A5A5))
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id and its whole set as sorted 64-bit values."""
+    """Per row: doc_id, the digest of its set and the whole set as sorted 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *_digests(sets), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, members binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, set_a bigint, set_b bigint, members binary")
 
 
 class _Scratch:
@@ -291,12 +294,16 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _compared_in_full(crossed: DataFrame, sizes: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between unlike components of a bucket. ``crossed``: bucket, id, component; ``sizes``: bucket, number."""
+    """Links (a, b) between unlike components of a bucket. ``crossed``: bucket, id, component; ``sizes``: bucket, number.
+
+    An id may name several classes: each is compared by its own bands and set, in the buckets it is in.
+    """
     blocks = F.ceil(F.col("number") / BLOCK)
     dealt = crossed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     keyed = dealt.select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    rows = (keyed.join(classes.select(F.col("class_id").alias("id"), "bands"), "id").join(sets, "id")
-            .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "bands", "members"))
+    banded = classes.select(F.col("class_id").alias("id"), "set_a", "set_b", "bands", F.posexplode("bands").alias("place", "bucket"))
+    rows = (keyed.join(banded, ["bucket", "id"]).join(sets, ["id", "set_a", "set_b"])
+            .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "place", "bands", "members"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["id", "members"])
@@ -305,9 +312,8 @@ def _compared_in_full(crossed: DataFrame, sizes: DataFrame, classes: DataFrame,
         if not len(first) or not len(second):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         left, right = ([np.frombuffer(x, dtype=U) for x in part["members"]] for part in (first, second))
-        bucket = frame["bucket"].iloc[0]
         bands = [np.stack(part["bands"].to_numpy()) for part in (first, second)]
-        place = int(np.flatnonzero(bands[0][0] == bucket)[0])
+        place = int(frame["place"].min())
         new = first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None, :]
         for band in range(place):  # a pair that met in an earlier band is compared there
             new &= bands[0][:, band][:, None] != bands[1][:, band][None, :]
