@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowquarry.llm import ann, chat, line_rules, mixing, near_dup, packing, pii, quality_cnn, secret_links, token_prefix
+from flowquarry.llm import ann, chat, filter_audit, infill, line_rules, mixing, near_dup, packing, pii, quality_cnn, secret_links, simhash, token_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -120,3 +120,56 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_multi_index_hashing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_gray_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op12_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, len(w) < 200 AS "A", 100 * len(list_distinct(w)) < 50 * len(w) AS "B",
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS "C", regexp_matches(text, '[#$%&*|]') AS "D",
+    coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), d.doc_id IS NULL AND min(d.doc_id) OVER (PARTITION BY text) IS NOT NULL) AS "E",
+    coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, concat(CASE WHEN "A" THEN 'A' ELSE '' END, CASE WHEN "B" THEN 'B' ELSE '' END, CASE WHEN "C" THEN 'C' ELSE '' END,
+    CASE WHEN "D" THEN 'D' ELSE '' END, CASE WHEN "E" THEN 'E' ELSE '' END) AS failed,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || e.c || h.c || k.c AS filter_order FROM x a, x b, x e, x h, x k
+    WHERE len(list_distinct([a.c, b.c, e.c, h.c, k.c])) = 5),
+s AS (SELECT filter_order, i::INTEGER AS step, filter_order[i] AS letter, left(filter_order, i - 1) AS before, left(filter_order, i) AS upto FROM o, range(1, 6) t(i)),
+r AS (SELECT g.part, s.filter_order, s.step, s.letter,
+    sum(CASE WHEN translate(g.failed, s.upto, '') = g.failed THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN contains(g.failed, s.letter) AND translate(g.failed, s.before, '') = g.failed THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN contains(g.failed, s.letter) AND translate(g.failed, s.before, '') <> g.failed THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN g.failed = s.letter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN contains(g.failed, s.letter) AND translate(g.failed, s.before, '') = g.failed THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN contains(g.failed, s.letter) AND translate(g.failed, s.before, '') = g.failed THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM r
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query("op13_infill_scatter", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
+c AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+    text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 AS plain, ('0x' || h[25:32])::BIGINT % 100 < 80 AS spm FROM d),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    CASE WHEN NOT plain THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END::BIGINT AS middle_chars,
+    sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+        ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
