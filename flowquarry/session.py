@@ -70,6 +70,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Removes a table of ``scratch_path`` that nothing reads any more, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def store_scratch(df: DataFrame, name: str) -> DataFrame:
     """The table written below the shared folder and read again: evaluated once, readable column by column."""
     path = scratch_path(df.sparkSession, name)
