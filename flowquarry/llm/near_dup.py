@@ -6,9 +6,11 @@ empty and never linked). A register is the smallest of exponential hash values o
 form a class at once. Classes that agree on a band of registers share a bucket; a bucket names as pivot the member that
 meets most others over all its buckets, and members are paired with it, so a group of any size gives as many pairs as
 members. Pairs whose likeliest Jaccard value is far below the threshold go; the others are confirmed on the full sets.
-A second round takes a pivot outside the first one's component. Buckets that then still hold several components are
-compared in full, by pairs of blocks of bounded size within tasks, which return only links, so that no link within a
-bucket is lost and no list of pairs is made.
+A second round takes a pivot outside the first one's component. What stands in buckets that then still hold several
+components is joined on rare shingles: sets as alike as asked for share one of their first shingles in any order that all
+sets use, so each gives only as many as it may lack and one more, rarest first, and sets of unlike components that share
+one of those are estimated and confirmed like other pairs. Texts that have a common passage but no more thus never meet.
+The order comes from a table of ``SLOTS`` counters; it decides how few sets meet, not which links are found.
 
 Cases: null and empty texts get an empty set, no links, and stay; equal rows are one class; rows that share a doc_id with
 different texts count as one node; a null doc_id never becomes a class's id unless all its rows have none; an empty table
@@ -26,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowquarry.session import scratch_path
+from flowquarry.session import drop_scratch, scratch_path
 
 WORDS = 5
 BANDS, ROWS = 24, 6
@@ -37,8 +39,10 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Pairs are verified if the estimate is above the threshold less this: about five standard errors.
 SLACK = 0.15
 PIVOT_ROUNDS = 2
-#: Members of a block, about, and shingles compared at a time, where a bucket is compared in full.
-BLOCK, COLUMNS = 256, 8_192
+#: Members of a block, about, of the sets that share a rare shingle, and counters that tell rare from frequent.
+BLOCK, SLOTS = 512, 1 << 16
+#: Members of a shingle up to which all are paired at once, and pairs estimated at a time.
+FEW, PAIRS = 16, 8_192
 CHUNK_BYTES = 1 << 20
 U = np.uint64
 
@@ -171,31 +175,46 @@ def jaccard_estimates(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n
     return grid[np.arange(len(grid)), score.argmax(axis=1)]
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, registers binary"
+SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, registers binary"
 
 
 def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Per row: size and 128-bit digest of its set, band keys, registers. One pass, no shuffle."""
+    """Per row: size and 128-bit digest of its set, registers. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch["text"].to_pylist())
             if not sets:
                 continue
-            low = np.array([set_minima(x, bands * ROWS) for x in sets])
-            registers = registers_of(low)
-            keys = np.zeros((len(sets), bands), dtype=U)
-            for j in range(ROWS):
-                keys = _mix(keys + registers.reshape(len(sets), bands, ROWS)[:, :, j].astype(U) + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            keys = _mix(keys + np.arange(bands, dtype=U))
+            registers = registers_of(np.array([set_minima(x, bands * ROWS) for x in sets]))
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *_digests(sets),
-                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in registers], pa.binary())],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "registers"])
+                pa.array([x.tobytes() for x in registers], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "registers"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """Keys of the bands of registers (rows), one column a band."""
+    bands = registers.shape[1] // ROWS
+    keys = np.zeros((len(registers), bands), dtype=U)
+    for j in range(ROWS):
+        keys = _mix(keys + registers.reshape(len(registers), bands, ROWS)[:, :, j].astype(U) + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return _mix(keys + np.arange(bands, dtype=U)).view(np.int64)
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(id, bucket) of each class: one row a band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(np.frombuffer(b"".join(batch["registers"].to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["class_id"].to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["id", "bucket"])
+
+    return classes.where("class_id is not null").select("class_id", "registers").mapInArrow(run, "id bigint, bucket bigint").distinct()
+
+
 def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     """The 128-bit digest of each set, in two halves."""
     return tuple(pa.array(np.array([_mix(x ^ U(salt)).sum(dtype=U) for x in sets], dtype=U).view(np.int64)) for salt in (0, 0xA5A5A5A5A5A5A5A5))
@@ -213,15 +232,21 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 class _Scratch:
-    """Narrow tables in the shared folder between jobs."""
+    """Narrow tables in the shared folder between jobs; those that are read no more are removed."""
 
     def __init__(self, spark):
-        self.spark = spark
+        self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        table = self.spark.read.parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            drop_scratch(self.spark, self.paths.pop(id(table))[1])
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -241,14 +266,16 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         closer = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("id").alias("of"), F.col("component").alias("theirs"))
         stepped = closer.join(jump, closer["component"] == jump["of"], "left").select("id", "was", F.least("component", "theirs").alias("component"))
-        labels = scratch.keep(stepped, "labels")
+        newer = scratch.keep(stepped, "labels")
+        scratch.drop(labels)
+        labels = newer
         if labels.where("component <> was").isEmpty():
+            scratch.drop(edges)
             return labels.select("id", "component")
-        labels = labels.drop("was")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: _Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow and whose registers suggest the similarity asked for."""
 
     def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -259,7 +286,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
 
     of = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
     sized = F.col("n_a").between(F.col("n_b") * percent / 100, F.col("n_b") * 100 / percent)
-    near = scratch.keep(pairs.join(of("a"), "a").join(of("b"), "b").where(sized).mapInPandas(likely, "a bigint, b bigint").distinct(), "pairs")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(sized).mapInPandas(likely, "a bigint, b bigint").distinct()
+
+
+def _exact_pairs(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -274,57 +305,76 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return near.join(named("a"), "a").join(named("b"), "b").mapInPandas(exact, "a bigint, b bigint").distinct()
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all pairs of two lists of sorted sets, by products of membership tables of COLUMNS shingles."""
-    known = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    total = np.zeros((len(left), len(right)))
-    for at in range(0, len(known), COLUMNS):
-        part = known[at:at + COLUMNS]
-        tables = []
-        for sets in (left, right):
-            table = np.zeros((len(sets), len(part)), dtype=np.float32)
-            for row, values in enumerate(sets):
-                low, high = np.searchsorted(values, [part[0], part[-1]], side="left")
-                inside = values[low:high + 1]
-                place = np.minimum(np.searchsorted(part, inside), len(part) - 1)
-                table[row, place[part[place] == inside]] = 1
-            tables.append(table)
-        total += tables[0] @ tables[1].T
-    return total
-
-
-def _compared_in_full(crossed: DataFrame, sizes: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between unlike components of a bucket. ``crossed``: bucket, id, component; ``sizes``: bucket, number.
-
-    An id may name several classes: each is compared by its own bands and set, in the buckets it is in.
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (_mix(values) >> U(65 - SLOTS.bit_length())).astype(np.int64)
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall into each of SLOTS counters: a number of values that does not grow with the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for members in batch["members"]:
+                total += np.bincount(_slots(np.frombuffer(members.as_py(), dtype=U)), minlength=SLOTS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "number"])
+
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for slot, number in sets.select("members").mapInArrow(run, "slot bigint, number bigint").groupBy("slot").agg(F.sum("number")).collect():
+        counts[slot] = number
+    return counts
+
+
+def rare_shingles(values: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which every set alike enough has at least one among its own, first in the order of counts."""
+    most = len(values) - (percent * len(values) + 99) // 100 + 1
+    return values[np.lexsort((values, counts[_slots(values)]))[:most]]
+
+
+def _rarely_met(crossed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of unlike components among ``crossed`` (id, component) that share a rare shingle.
+
+    The few members of a shingle are paired at once, those of a frequent one in tasks by pairs of blocks.
     """
+    counts = slot_counts(sets)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare = [rare_shingles(np.frombuffer(x.as_py(), dtype=U), counts, percent).view(np.int64) for x in batch["members"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(rare, pa.list_(pa.int64()))], ["id", "rare"])
+
+    scratch = _Scratch(sets.sparkSession)
+    rare = sets.select("id", "members").mapInArrow(first, "id bigint, rare array<bigint>")
+    met = scratch.keep(rare.join(crossed, "id").select("id", "component", F.explode("rare").alias("shingle")).distinct(), "rare")
+    mixed = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("number")).where("least < most")
+    dealt = scratch.keep(met.join(mixed.select("shingle", "number"), "shingle"), "dealt")
+    scratch.drop(met)
+    some = dealt.where(F.col("number") <= FEW)
+    few = (some.select("shingle", F.col("id").alias("a"), F.col("component").alias("of_a")).join(some.select("shingle", F.col("id").alias("b"), F.col("component").alias("of_b")), "shingle")
+           .where("a < b and of_a <> of_b").select("a", "b").distinct())
     blocks = F.ceil(F.col("number") / BLOCK)
-    dealt = crossed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    keyed = dealt.select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    banded = classes.select(F.col("class_id").alias("id"), "set_a", "set_b", "bands", F.posexplode("bands").alias("place", "bucket"))
-    rows = (keyed.join(banded, ["bucket", "id"]).join(sets, ["id", "set_a", "set_b"])
-            .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "place", "bands", "members"))
+    blocked = dealt.where(F.col("number") > FEW).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    keyed = blocked.select("shingle", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    rows = (keyed.join(classes.select(F.col("class_id").alias("id"), "n_shingles", "registers"), "id")
+            .select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "n_shingles", "registers"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["id", "members"])
-        first = frame[frame["block"] == frame["low"].iloc[0]]
-        second = frame[frame["block"] == frame["high"].iloc[0]]
-        if not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        left, right = ([np.frombuffer(x, dtype=U) for x in part["members"]] for part in (first, second))
-        bands = [np.stack(part["bands"].to_numpy()) for part in (first, second)]
-        place = int(frame["place"].min())
-        new = first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None, :]
-        for band in range(place):  # a pair that met in an earlier band is compared there
-            new &= bands[0][:, band][:, None] != bands[1][:, band][None, :]
-        if not new.any():
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        shared = shared_counts(left, right)
-        union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - shared
-        i, j = np.nonzero(new & (100 * shared >= percent * union) & (shared > 0))
-        return pd.DataFrame({"a": first["id"].to_numpy()[i], "b": second["id"].to_numpy()[j]})
-
-    return rows.groupBy("bucket", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+        left, right = (frame[frame["block"] == frame[c].iloc[0]] for c in ("low", "high"))
+        sizes, of = ([x[c].to_numpy() for x in (left, right)] for c in ("n_shingles", "component"))
+        apart = of[0][:, None] != of[1][None, :]
+        apart &= (100 * sizes[1][None, :] >= percent * sizes[0][:, None]) & (100 * sizes[0][:, None] >= percent * sizes[1][None, :])
+        out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
+        registers = [np.frombuffer(b"".join(x["registers"]), dtype=np.uint16).reshape(len(x), -1) if len(x) else None for x in (left, right)]
+        i, j = np.nonzero(apart)
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at:at + PAIRS], j[at:at + PAIRS]
+            good = jaccard_estimates(registers[0][a], registers[1][b], sizes[0][a].astype(float), sizes[1][b].astype(float)) >= percent / 100 - SLACK
+            out.append(pd.DataFrame({"a": left["id"].to_numpy()[a[good]], "b": right["id"].to_numpy()[b[good]]}))
+        return pd.concat(out)
+
+    many = rows.groupBy("shingle", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+    return _likely_pairs(few, classes, percent).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -334,17 +384,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sketched = scratch.keep(sketches(docs, band_count(percent)), "sketches")
     filled = sketched.where("n_shingles > 0")
     classes = scratch.keep(filled.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
-    banded = classes.where("class_id is not null").select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
+        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    known = scratch.keep(sketched.select("doc_id", "n_shingles", "set_a", "set_b"), "known")
+    scratch.drop(sketched)
+    banded = buckets(classes)
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("number")).where("number > 1")
     met = scratch.keep(banded.join(crowded, "bucket"), "met")
     # how many others a member meets over all its buckets: the middle of a group meets most
-    degrees = met.groupBy("id").agg(F.sum("number").alias("degree"))
+    degrees = scratch.keep(met.groupBy("id").agg(F.sum("number").alias("degree")), "degrees")
     shared = scratch.keep(met.join(degrees, "id").select("bucket", "id", "number", "degree"), "shared")
+    scratch.drop(met)
     labels = scratch.keep(degrees.select("id", F.col("id").alias("component")), "labels")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(degrees.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates()  # by the same partitioning
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(degrees.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates()
     sets = scratch.keep(full_sets(texts).withColumnRenamed("doc_id", "id"), "sets")
-    links, pivots = None, None
+    links, pivots, before = None, None, ()
     for turn in range(PIVOT_ROUNDS + 1):
         placed = shared.join(labels, "id")
         if pivots is not None:  # another pivot, outside the component of the last
@@ -353,22 +406,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         else:
             free = F.lit(True)
         rank = F.when(free, F.struct(F.col("degree").alias("degree"), (-F.col("id")).alias("order"), "id", "component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.first("number").alias("number"), F.max(rank).alias("pivot"))
-        mixed = scratch.keep(mixed.where("least < most").select("bucket", "number", F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("of_pivot")), "mixed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(rank).alias("pivot"))
+        mixed = scratch.keep(mixed.where("least < most").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.component").alias("of_pivot")), "mixed")
         if mixed.isEmpty():
             break
         if turn == PIVOT_ROUNDS:
-            crossed = shared.join(labels, "id").join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "id", "component")
-            found = _compared_in_full(crossed, mixed.select("bucket", "number"), classes, sets, percent)
+            crossed = scratch.keep(shared.join(labels, "id").join(mixed.select("bucket"), "bucket", "left_semi").select("id", "component").distinct(), "crossed")
+            likely = _rarely_met(crossed, classes, sets, percent)
         else:
             pairs = placed.join(mixed, "bucket").where("component <> of_pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-            found = _verified(pairs.distinct(), classes, sets, percent, scratch)
-        links_now = scratch.keep(found, "links")
+            likely = _likely_pairs(pairs.distinct(), classes, percent)
+        near = scratch.keep(likely, "pairs")
+        links_now = scratch.keep(_exact_pairs(near, sets, percent), "links")
         links = links_now if links is None else links.unionByName(links_now)
         merged = components(links)
-        labels = scratch.keep(labels.drop("component").join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+        newer = scratch.keep(labels.drop("component").join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+        scratch.drop(near, labels, *before)
+        labels, before = newer, (mixed,)
         pivots = mixed.join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot").select("bucket", "pivot_component")
-    known = sketched.select("doc_id", "n_shingles", "set_a", "set_b")
     named = known.join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left")
     reached = named.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "class_id", "doc_id"))

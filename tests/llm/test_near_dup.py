@@ -96,9 +96,20 @@ def test_pipeline_keeps_one_row_of_each_group_without_ids(spark):
 
     text = lambda name: " ".join(f"{name}{i}" for i in range(30))
     rows = [(None, text("a")), (None, text("a")), (None, text("a").upper()), (None, text("b")), (7, text("b")), (9, text("b")), (None, text("c")), (None, " "), (None, " "), (4, " "), (5, " "), (None, None),
-            (3, text("d")), (3, text("e")), (8, text("d")), (8, text("d")), (10, text("e"))]
+            (3, text("d")), (3, text("e")), (8, text("d")), (8, text("d")), (10, text("e")), (11, text("f")), (11, text("g")), (11, text("g"))]
     docs = spark.createDataFrame([(i, t, None, None, None, 0, "", "", 0, 0, 0.0) for i, t in rows], DOCS)
     got = Counter((r.doc_id, (r.text or "none").lower()) for r in corpus_pipeline.near_dup_stage(spark, docs, "").collect())
     by_name = Counter(t[0] for _, t in got.elements())
+    assert got[3, text("d")] == got[3, text("e")] == got[11, text("f")] == got[11, text("g")] == 1  # unlike texts of one id all stay
     assert by_name["a"] == by_name["b"] == by_name["c"] == by_name["d"] == by_name["e"] == 1 and got[7, text("b")] == got[None, text("c")] == 1
     assert {k: n for k, n in got.items() if k[1] in (" ", "none")} == {(None, " "): 1, (4, " "): 1, (5, " "): 1, (None, "none"): 1}
+
+
+def test_pipeline_keeps_rows_with_columns_that_have_no_order(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five six", {"a": 1}, "x"), (1, "one two three four five six", {"a": 2}, "y"), (2, "one two three four five six", None, "z"), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>, `row` string")
+    got = corpus_pipeline.near_dup_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert corpus_pipeline.near_dup_stage(spark, docs.limit(0), "").count() == 0
