@@ -15,47 +15,67 @@ NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, fitted on the labels of ``sf_dir``, takes for good ones."""
+    """Documents that the network, fitted on the labels of ``sf_dir``, takes for good ones.
+
+    Null and empty texts are scored like any other; long texts are read whole; repeated rows stay or go together; without
+    labels every score is 0.5 and all stay; an empty table gives an empty table; the score's own columns have names that
+    do not clash with those of the documents.
+    """
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return quality_cnn.score_quality(docs, labels, prefix="__quality").where("__quality_predicted = 1").select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of least doc_id, nulls last, and of equal ones its least row.
+    """One row of each group of near copies: that of least doc_id, nulls last, and of equal ones that of least text hash.
 
-    Groups are made of texts, so a row without a doc_id goes like any other if a copy of it stays. Of rows that share a
-    doc_id only one can stand for it: that of least text hash, also where their texts are unlike. Rows without words are
-    like no other, but of those that agree in doc_id and text one stays. What stays is chosen from narrow rows.
+    A text is a node of its own, whatever its doc_id: rows of one doc_id with unlike texts all stay, rows without a
+    doc_id go like any other if a copy of theirs stays. Rows without words, and null texts, are like no other, but of
+    those that agree in doc_id and text one stays. Of rows equal in doc_id and text that of least hash of its other
+    columns stays. Groups are decided on narrow rows; long texts are read whole; an empty table gives an empty table; all
+    columns are kept as they are, whatever their names and types.
     """
-    key = F.xxhash64("text")
-    keyed = docs.withColumns({"__key": key, "__place": F.coalesce(F.col("doc_id").cast("bigint"), key)})
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
     groups = (near_dup.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), NEAR_PERCENT)
               .groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("__group")))
-    alone = F.when(F.coalesce(F.col("text").rlike(NO_SPACE), F.lit(False)), F.lit(None)).otherwise(F.col("doc_id"))
-    narrow = keyed.select("doc_id", "__key", "__place", alone.alias("__alone"))
-    one = narrow.groupBy("__place", F.col("doc_id").isNull().alias("__null")).agg(F.min(F.struct("__key", "doc_id", "__alone")).alias("row")).select("__null", "row.*")
-    least = F.min(F.struct("__null", "doc_id", "__key")).alias("row")  # first for each text, then for each group of texts
-    of_texts = one.groupBy("__key", "__alone").agg(least).select("__key", "__alone", "row.__null", "row.doc_id")
-    keep = (of_texts.join(groups, "__key").groupBy("__group", "__alone").agg(least).select("row.*")
-            .select(F.coalesce(F.col("doc_id").cast("bigint"), "__key").alias("__place"), "__key", F.col("__null")))
+    wordless = ~F.coalesce(F.col("text").rlike(NO_SPACE), F.lit(False))
+    rows = keyed.groupBy("doc_id", "__key").agg(F.first(wordless).alias("__wordless"))
+    alone = rows.where("__wordless").select("doc_id", "__key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))).alias("row")
+    of_texts = rows.where("not __wordless").groupBy("__key").agg(least)  # first for each text, then for each group of texts
+    of_groups = of_texts.join(groups, "__key").groupBy("__group").agg(F.min("row").alias("row")).select(F.col("row.id").alias("doc_id"), F.col("row.key").alias("__key"))
+    keep = alone.unionByName(of_groups).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"))
     rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = (keyed.join(keep, ["__place", "__key"]).where(F.col("doc_id").isNull() == F.col("__null"))
-              .groupBy("__place", "__key", "doc_id").agg(F.min(F.struct(*rest)).alias("row")))
-    return chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in rest if c != "text"]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    chosen = (keyed.join(keep, (F.col("__key") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+              .groupBy("__key", "doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("__row")))
+    return chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind.
+
+    Null and empty texts stay as they are; long texts are read whole; repeated rows stay; an empty table gives an empty
+    table; all other columns are kept.
+    """
     return pii.redact(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one that ends a shard's quota is cut."""
+    """Documents as often as the mix takes them; the one that ends a shard's quota is cut.
+
+    A null source is a source of its own; null and empty texts have no words and are not taken; repeated rows are
+    documents of their own; an empty table gives an empty table; all other columns are kept.
+    """
     return mixing.mix_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
+    """Pieces of documents with their sequence and place.
+
+    Null and empty texts are the closing id alone; long texts are cut into pieces; repeated rows are packed each; an
+    empty table gives an empty table; only doc_id and text are read.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
