@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowquarry.llm.forest import Forest
 from flowquarry.session import drop_scratch, scratch_path
 
 WORDS = 5
@@ -41,8 +42,8 @@ SLACK = 0.15
 PIVOT_ROUNDS = 2
 #: Members of a block, about, of the sets that share a rare shingle, and counters that tell rare from frequent.
 BLOCK, SLOTS = 512, 1 << 16
-#: Members of a shingle up to which all are paired at once, and pairs estimated at a time.
-FEW, PAIRS = 16, 8_192
+#: Members of a shingle up to which all are paired at once, and shingles of a membership table.
+FEW, COLUMNS = 16, 8_192
 CHUNK_BYTES = 1 << 20
 U = np.uint64
 
@@ -332,10 +333,30 @@ def rare_shingles(values: np.ndarray, counts: np.ndarray, percent: int) -> np.nd
     return values[np.lexsort((values, counts[_slots(values)]))[:most]]
 
 
-def _rarely_met(crossed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of unlike components among ``crossed`` (id, component) that share a rare shingle.
-
-    The few members of a shingle are paired at once, those of a frequent one in tasks by pairs of blocks.
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of two lists of sorted sets, by products of membership tables of COLUMNS shingles."""
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)))
+    for at in range(0, len(known), COLUMNS):
+        part = known[at:at + COLUMNS]
+        tables = []
+        for sets in (left, right):
+            table = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for row, values in enumerate(sets):
+                low, high = np.searchsorted(values, [part[0], part[-1]], side="left")
+                inside = values[low:high + 1]
+                place = np.minimum(np.searchsorted(part, inside), len(part) - 1)
+                table[row, place[part[place] == inside]] = 1
+            tables.append(table)
+        total += tables[0] @ tables[1].T
+    return total
+
+
+def _rarely_linked(crossed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all alike sets of unlike components among ``crossed`` (id, component).
+
+    Shingles with the same members count once. The few members of a shingle are paired at once; those of a frequent one
+    are compared in tasks by pairs of blocks, which return no more links than members.
     """
     counts = slot_counts(sets)
 
@@ -347,8 +368,10 @@ def _rarely_met(crossed: DataFrame, classes: DataFrame, sets: DataFrame, percent
     scratch = _Scratch(sets.sparkSession)
     rare = sets.select("id", "members").mapInArrow(first, "id bigint, rare array<bigint>")
     met = scratch.keep(rare.join(crossed, "id").select("id", "component", F.explode("rare").alias("shingle")).distinct(), "rare")
-    mixed = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("number")).where("least < most")
-    dealt = scratch.keep(met.join(mixed.select("shingle", "number"), "shingle"), "dealt")
+    mixed = met.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("number"),
+                                       F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("also")).where("least < most")
+    once = mixed.groupBy("number", "who", "also").agg(F.min("shingle").alias("shingle")).select("shingle", "number")
+    dealt = scratch.keep(met.join(once, "shingle"), "dealt")
     scratch.drop(met)
     some = dealt.where(F.col("number") <= FEW)
     few = (some.select("shingle", F.col("id").alias("a"), F.col("component").alias("of_a")).join(some.select("shingle", F.col("id").alias("b"), F.col("component").alias("of_b")), "shingle")
@@ -356,25 +379,25 @@ def _rarely_met(crossed: DataFrame, classes: DataFrame, sets: DataFrame, percent
     blocks = F.ceil(F.col("number") / BLOCK)
     blocked = dealt.where(F.col("number") > FEW).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     keyed = blocked.select("shingle", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    rows = (keyed.join(classes.select(F.col("class_id").alias("id"), "n_shingles", "registers"), "id")
-            .select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "n_shingles", "registers"))
+    rows = keyed.join(sets.select("id", "members"), "id").select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "members")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         left, right = (frame[frame["block"] == frame[c].iloc[0]] for c in ("low", "high"))
-        sizes, of = ([x[c].to_numpy() for x in (left, right)] for c in ("n_shingles", "component"))
-        apart = of[0][:, None] != of[1][None, :]
-        apart &= (100 * sizes[1][None, :] >= percent * sizes[0][:, None]) & (100 * sizes[0][:, None] >= percent * sizes[1][None, :])
-        out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
-        registers = [np.frombuffer(b"".join(x["registers"]), dtype=np.uint16).reshape(len(x), -1) if len(x) else None for x in (left, right)]
-        i, j = np.nonzero(apart)
-        for at in range(0, len(i), PAIRS):
-            a, b = i[at:at + PAIRS], j[at:at + PAIRS]
-            good = jaccard_estimates(registers[0][a], registers[1][b], sizes[0][a].astype(float), sizes[1][b].astype(float)) >= percent / 100 - SLACK
-            out.append(pd.DataFrame({"a": left["id"].to_numpy()[a[good]], "b": right["id"].to_numpy()[b[good]]}))
-        return pd.concat(out)
-
-    many = rows.groupBy("shingle", "low", "high").applyInPandas(compare, "a bigint, b bigint")
-    return _likely_pairs(few, classes, percent).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")).distinct()
+        sizes, of = ([x[c].to_numpy() for x in (left.assign(size=left["members"].str.len() // 8), right.assign(size=right["members"].str.len() // 8))] for c in ("size", "component"))
+        apart = (of[0][:, None] != of[1][None, :]) & (100 * sizes[1][None, :] >= percent * sizes[0][:, None]) & (100 * sizes[0][:, None] >= percent * sizes[1][None, :])
+        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        forest, ids = Forest(len(rows) + len(columns)), np.concatenate([left["id"].to_numpy()[rows], right["id"].to_numpy()[columns]])
+        if len(rows):
+            members = [[np.frombuffer(x, dtype=U) for x in part["members"].iloc[at]] for part, at in ((left, rows), (right, columns))]
+            shared = shared_counts(*members)
+            union = sizes[0][rows][:, None] + sizes[1][columns][None, :] - shared
+            i, j = np.nonzero(apart[np.ix_(rows, columns)] & (100 * shared >= percent * union) & (shared > 0))
+            forest.join(i, len(rows) + j)
+        a, b = forest.links()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]}).astype("int64")
+
+    many = rows.groupBy("shingle", "low", "high").applyInPandas(compare, "a bigint, b bigint").where("a <> b")
+    return _exact_pairs(_likely_pairs(few, classes, percent), sets, percent).unionByName(many).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -412,16 +435,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             break
         if turn == PIVOT_ROUNDS:
             crossed = scratch.keep(shared.join(labels, "id").join(mixed.select("bucket"), "bucket", "left_semi").select("id", "component").distinct(), "crossed")
-            likely = _rarely_met(crossed, classes, sets, percent)
+            found = _rarely_linked(crossed, classes, sets, percent)
         else:
             pairs = placed.join(mixed, "bucket").where("component <> of_pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-            likely = _likely_pairs(pairs.distinct(), classes, percent)
-        near = scratch.keep(likely, "pairs")
-        links_now = scratch.keep(_exact_pairs(near, sets, percent), "links")
+            near = scratch.keep(_likely_pairs(pairs.distinct(), classes, percent), "pairs")
+            found = _exact_pairs(near, sets, percent)
+        links_now = scratch.keep(found, "links")
         links = links_now if links is None else links.unionByName(links_now)
         merged = components(links)
         newer = scratch.keep(labels.drop("component").join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
-        scratch.drop(near, labels, *before)
+        scratch.drop(labels, *before)
         labels, before = newer, (mixed,)
         pivots = mixed.join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot").select("bucket", "pivot_component")
     named = known.join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left")

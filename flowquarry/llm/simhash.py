@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowquarry.llm.forest import Forest
 from flowquarry.llm.near_dup import components
 from flowquarry.session import scratch_path, store_scratch
 
@@ -110,28 +111,6 @@ def dealt(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return codes.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
 
 
-class Forest:
-    """Components of codes, each named by its first place."""
-
-    def __init__(self, size: int):
-        self.label = np.arange(size)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            low, high = self.label[a], self.label[b]
-            apart = low != high
-            if not apart.any():
-                return
-            a, b = a[apart], b[apart]
-            low, high = np.minimum(low, high)[apart], np.maximum(low, high)[apart]
-            np.minimum.at(self.label, high, low)
-            while True:  # every code names the top of its component
-                up = self.label[self.label]
-                if (up == self.label).all():
-                    break
-                self.label = up
-
-
 class GrayIndex:
     """Hierarchy over codes sorted by (group, Gray rank): each level's nodes hold the bits their members have in common."""
 
