@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import functools
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 #: The word pattern of byte-level byte-pair vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_ENTRIES = 250_000
-#: Prefixes up to this many bytes are shared between pieces; Recent keeps keys of up to 64.
-SHORT = 48
+#: Marks that never join a word before them; they are bytes, so tokens.
+SINGLE = frozenset(".,;:!?)")
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, n_chars bigint, cut_chars bigint, prefix_deltas binary"
 
 
@@ -52,7 +54,7 @@ class Recent(dict):
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        if len(key) <= 64:
+        if len(key) <= 64:  # long keys are not worth their memory
             self[key] = value
         return value
 
@@ -72,13 +74,12 @@ class BytePairs:
         self.split_pieces = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.leading = regex.compile(r"\p{White_Space}*").match
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")").split if added else None
-        self.endings: dict[bytes, list[int]] = {}
-        for token in self.ranks:
-            if len(token) > 2:
-                self.endings.setdefault(token[-3:], []).append(len(token))
-        self.endings = {k: sorted(set(v), reverse=True) for k, v in self.endings.items()}
-        self.follows = Recent(lambda pair: self.piece(pair[0] + pair[1]) == [self.ranks[pair[0]], self.ranks[pair[1]]], 100_000)
-        self.prefix_end = Recent(self._prefix_end)
+        self.token = {i: token for token, i in self.ranks.items()}
+        self.suffixes = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            self.suffixes.add_word(token.decode("latin-1"), (i, len(token)))
+        self.suffixes.make_automaton()
+        self.follows = Recent(self._follows, 400_000)
         self.piece_ids = Recent(lambda piece: np.array(self.piece(piece.encode()), dtype="<u4").tobytes(), 100_000)
         self.chunk_ids = Recent(self._chunk_ids, 400_000)
         self.pieces = Recent(self._piece_counts, 100_000)
@@ -115,36 +116,30 @@ class BytePairs:
         return b"".join(np.array([self.added[x]], dtype="<u4").tobytes() if x in self.added else self._plain_ids(x) for x in self.split_added(text))
 
     # counts at prefixes ----------------------------------------------------------------------------------------------
-    def _long_ending(self, data: bytes, ends: list[tuple[bytes, int]], stop: int) -> tuple[bytes, int]:
-        """Last token of the first ``stop`` bytes and their count; ``ends`` has the same for all shorter prefixes."""
-        for size in (*self.endings.get(data[stop - 3:stop], ()), 2, 1):
-            token = data[max(0, stop - size):stop]
-            if size < stop:
-                if token in self.ranks and (size == 1 or self.follows[ends[stop - size - 1][0], token]):
-                    return token, ends[stop - size - 1][1] + 1
-            elif size == stop and token in self.ranks:
-                return token, 1
-        raise ValueError("a byte is missing from the vocabulary")
-
-    def _prefix_end(self, data: bytes) -> tuple[bytes, int]:
-        """The same for a short prefix, by way of the shorter prefixes remembered."""
-        ranks, follows, before, length = self.ranks, self.follows, self.prefix_end, len(data)
-        for size in (*self.endings.get(data[-3:], ()), 2, 1):
-            if size < length:
-                if (token := data[-size:]) in ranks:
-                    end, count = before[data[:-size]]
-                    if size == 1 or follows[end, token]:
-                        return token, count + 1
-            elif size == length and data in ranks:
-                return data, 1
-        raise ValueError("a byte is missing from the vocabulary")
+    def _follows(self, pair: tuple[int, int]) -> bool:
+        """Whether the second token may stand behind the first: together they are encoded as themselves."""
+        return self.piece(self.token[pair[0]] + self.token[pair[1]]) == list(pair)
 
     def _byte_counts(self, data: bytes) -> list[int]:
-        """Tokens of data[:i] for i = 1, 2, ..., shortest first; short prefixes are shared between pieces."""
-        ends = [self.prefix_end[data[:stop]] for stop in range(1, min(len(data), SHORT) + 1)]
-        for stop in range(SHORT + 1, len(data) + 1):
-            ends.append(self._long_ending(data, ends, stop))
-        return [count for _, count in ends]
+        """Tokens of data[:i] for i = 1, 2, ..., shortest first.
+
+        An automaton names the tokens that end at a byte; of these exactly one may follow the last token of the prefix
+        before it, and its end and count are those of the prefix.
+        """
+        follows, last, counts = self.follows, [], []
+        for end, (token, size) in self.suffixes.iter(data.decode("latin-1")):
+            if end < len(last):  # found for this prefix
+                continue
+            before = end - size
+            if before < 0:
+                last.append(token)
+                counts.append(1)
+            elif follows[last[before], token]:
+                last.append(token)
+                counts.append(counts[before] + 1)
+        if len(counts) < len(data):
+            raise ValueError("a byte is missing from the vocabulary")
+        return counts
 
     def _piece_counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of a piece, by code points."""
@@ -175,6 +170,9 @@ class BytePairs:
     def _chunk_counts(self, chunk: str) -> tuple[bytes, int] | None:
         if chunk.isalpha():
             local = self._piece_counts(" " + chunk)
+        elif chunk[-1] in SINGLE and chunk[:-1].isalpha():  # a word, and a mark that is a piece and a token of its own
+            known, total = self.chunk_counts[chunk[:-1]]
+            return known + (total + 1).to_bytes(4, sys.byteorder), total + 1
         elif chunk[0].isspace() or chunk[-1].isspace():
             return None
         else:
@@ -233,10 +231,10 @@ def longest_prefix(counts: np.ndarray, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def token_prefixes(docs: DataFrame, tokenizer: str, budget: int = 512) -> DataFrame:
+def token_prefixes(docs: DataFrame, tokenizer: str, budget: int = 512, stored: bool = True) -> DataFrame:
     """Per document its bytes, tokens, the longest prefix within ``budget`` tokens, and the table of counts at all prefixes.
 
-    ``prefix_deltas`` is read with ``unpack_counts`` and ``tokens_at``. One pass, no shuffle; a task holds one batch of
+    ``prefix_deltas`` is read with ``unpack_counts`` and ``tokens_at``; it is null unless ``stored``. One pass, no shuffle; a task holds one batch of
     texts and a bounded memory of frequent words.
     """
 
@@ -249,7 +247,7 @@ def token_prefixes(docs: DataFrame, tokenizer: str, budget: int = 512) -> DataFr
                 counts = pairs.prefix_counts(text)
                 total = int(counts[-1]) if len(counts) else 0
                 rows.append((key, len(text.encode()), total, len(text),
-                             len(text) if total <= budget else longest_prefix(counts, budget), pack_counts(counts)))
+                             len(text) if total <= budget else longest_prefix(counts, budget), pack_counts(counts) if stored else None))
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)],
                                              ["doc_id", "n_bytes", "n_tokens", "n_chars", "cut_chars", "prefix_deltas"])
