@@ -88,15 +88,22 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
 
 class Reader:
-    """Reads one conversation back from pieces of its formatted text, holding one turn at a time."""
+    """Reads one conversation back from pieces of its formatted text and their loss flags, holding one turn at a time.
+
+    Turns are read from the text alone, what counts for the loss from the flags alone.
+    """
 
     def __init__(self, template: Template):
         self.template, self.waiting, self.turns, self.chars, self.loss_chars = template, "", 0, 0, 0
         self.digest, self.loss_digest = hashlib.sha256(), hashlib.sha256()
         self.end = template.closing + template.between
 
-    def feed(self, text: str) -> None:
+    def feed(self, text: str, loss: bool) -> None:
         self.chars += len(text)
+        if loss:
+            plain = self.template.unescape(text)
+            self.loss_chars += len(plain)
+            self.loss_digest.update(plain.encode())
         self.waiting += text
         if not text.endswith(self.end):
             return
@@ -106,16 +113,13 @@ class Reader:
             role, body = self.template.unescape_role(head), self.template.unescape(body)
             self.turns += 1
             self.digest.update(f"{role}\n{body}\n".encode())
-            if role in self.template.loss_roles:
-                self.loss_chars += len(body)
-                self.loss_digest.update(body.encode())
 
 
 DIGESTS = "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, in_order boolean"
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row per conversation, read from the formatted text alone; ``in_order`` also asks for a final role at the end.
+    """One row per conversation, read from its segments and their loss flags; ``in_order`` also asks for a final role at the end.
 
     ``segments`` come as ``format_conversations`` leaves them: a conversation in one partition, in order.
     """
@@ -136,7 +140,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                     if reader:
                         done.append(row())
                     reader, key, fine = Reader(template), new, True
-                reader.feed(text)
+                reader.feed(text, bool(loss))
                 fine = fine and bool(follows)
                 last = bool(loss) if part == 1 else last
             yield pd.DataFrame(done, columns=names)
