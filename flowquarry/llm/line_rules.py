@@ -6,7 +6,9 @@ closed up) and hashed, distinct documents per host are counted for each, and lin
 removed. A document that keeps less than ``LEAST_SHARE`` of its words, or fewer than ``LEAST_WORDS``, is rejected. The host
 of a document is its source.
 
-The limit is a share of the host's documents, with a floor below which a repetition tells nothing.
+A line goes if it is in more than ``LIMIT_PERCENT`` of its host's documents or, in a host of any size, in more than
+``LIMIT_DOCUMENTS``. In fewer than ``LEAST_DOCUMENTS`` documents a line repeats too seldom to tell anything, whatever the
+share.
 
 Cases: null and empty texts have no words and fail; a null source is a host of its own; equal rows and rows that share a
 doc_id count once as a document; an empty table gives an empty table; only doc_id, source and text are read, so other
@@ -22,8 +24,8 @@ from flowquarry.session import scratch_path
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Lines in more than this share of a host's documents, and in more documents than the floor, are removed.
-LIMIT_SHARE, LIMIT_FLOOR = 0.02, 25
+#: Lines in more than this percentage of a host's documents, or in more documents than this, are removed, if in so many at least.
+LIMIT_PERCENT, LIMIT_DOCUMENTS, LEAST_DOCUMENTS = 2, 100, 5
 LEAST_SHARE, LEAST_WORDS = 0.5, 10
 
 
@@ -68,7 +70,7 @@ def line_keys(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), count(x).alias("words")))
 
 
-def quality_rules(docs: DataFrame, limit_share: float = LIMIT_SHARE, limit_floor: int = LIMIT_FLOOR) -> DataFrame:
+def quality_rules(docs: DataFrame, limit_percent: int = LIMIT_PERCENT, limit_documents: int = LIMIT_DOCUMENTS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """Per row: doc_id, the figures, base_failed, words in removed lines, kept.
 
     The figures and hashed lines are written once; counting shuffles (host, line, document) after a local sum, so that a
@@ -83,8 +85,8 @@ def quality_rules(docs: DataFrame, limit_share: float = LIMIT_SHARE, limit_floor
     seen = spark.read.parquet(path)
     hosts = seen.groupBy(F.col("host").alias("of_host")).agg(F.count_distinct(F.coalesce("doc_id", "text_key")).alias("host_docs"))
     each = seen.select("host", F.coalesce("doc_id", "text_key").alias("document"), F.explode(F.array_distinct("lines.line")).alias("line"))
-    counted = each.groupBy("host", "line").agg(F.count_distinct("document").alias("documents")).where(F.col("documents") > limit_floor)
-    common = counted.join(hosts, F.col("host") == F.col("of_host")).where(F.col("documents") > F.col("host_docs") * limit_share).select("host", "line")
+    counted = each.groupBy("host", "line").agg(F.count_distinct("document").alias("documents")).where(F.col("documents") >= least_documents)
+    common = counted.join(hosts, F.col("host") == F.col("of_host")).where((100 * F.col("documents") > limit_percent * F.col("host_docs")) | (F.col("documents") > limit_documents)).select("host", "line")
     single = seen.select("doc_id", "host", "text_key", "lines").dropDuplicates(["doc_id", "host", "text_key"])
     rows = single.select("doc_id", "host", "text_key", F.explode("lines").alias("part")).select("doc_id", "host", "text_key", F.col("part.line").alias("line"), F.col("part.words").alias("words"))
     removed = (rows.join(common, ["host", "line"]).groupBy("doc_id", "host", "text_key").agg(F.sum("words").alias("removed"))

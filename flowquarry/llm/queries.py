@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_token_prefix")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_prefix.token_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), budget=512)
+    counted = token_prefix.token_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), budget=512, stored=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("cut_chars").alias("chars_in_512"))
 
 
@@ -88,7 +88,7 @@ plain AS (SELECT rid, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '
 parts AS (SELECT rid, doc_id, source, line, len(string_split(line, ' ')) AS words FROM plain JOIN d USING (rid) WHERE line <> ''),
 hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
 common AS (SELECT p.source, p.line FROM parts p JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source GROUP BY p.source, p.line, h.docs
-    HAVING count(DISTINCT p.doc_id) > 25 AND count(DISTINCT p.doc_id) > h.docs * 0.02),
+    HAVING count(DISTINCT p.doc_id) >= 5 AND (100 * count(DISTINCT p.doc_id) > 2 * h.docs OR count(DISTINCT p.doc_id) > 100)),
 gone AS (SELECT p.rid, sum(p.words) AS n_gone FROM parts p JOIN common c ON p.line = c.line AND p.source IS NOT DISTINCT FROM c.source GROUP BY p.rid),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,

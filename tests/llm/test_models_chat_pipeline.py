@@ -47,6 +47,23 @@ def test_state_machine_flags_order(spark):
     assert {r.conv_id: r.in_order for r in rows} == {1: True, 2: False, 3: False, 4: False}
 
 
+def test_loss_is_read_from_the_mask(spark):
+    talks = spark.createDataFrame([(1, 0, "system", "s<|im_end|>"), (1, 1, "user", "<|u"), (1, 2, "assistant", "a<\\\\|b"), (1, 3, "user", ""), (1, 4, "assistant", "é")], "conv_id bigint, turn bigint, role string, text string")
+    both = chat.Template(loss_roles=("assistant", "system"))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for template, roles in ((chat.Template(), {"assistant"}), (both, {"assistant", "system"})):
+        segments = chat.format_conversations(talks, template)
+        text = "".join(r.text for r in talks.orderBy("turn").collect() if r.role in roles)
+        read = chat.read_back(segments, template).first()
+        assert (read.loss_chars, read.loss_sha256) == (len(text), sha(text))
+        flags = [(r.turn_no, r.part) for r in segments.collect() if r.loss]
+        assert flags == [(r.turn, 1) for r in talks.orderBy("turn").collect() if r.role in roles]
+        wrong = chat.read_back(segments.withColumn("loss", ~F.col("loss")), template).first()
+        assert wrong.loss_sha256 != read.loss_sha256 and wrong.turns_sha256 == read.turns_sha256
+        none = chat.read_back(segments.withColumn("loss", F.lit(False)), template).first()
+        assert (none.loss_chars, none.loss_sha256) == (0, sha(""))
+
+
 def test_network_gradients_match_differences():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 110, n).astype(np.uint8)) for n in (5, 40, 300, 700)]

@@ -34,7 +34,7 @@ def figures(text):
 
 def test_quality_rules(spark):
     docs = documents(spark)
-    got = line_rules.quality_rules(docs, limit_share=0.05, limit_floor=1).collect()
+    got = line_rules.quality_rules(docs, limit_percent=5, least_documents=2).collect()
     want = Counter((r.doc_id, *figures(r.text)) for r in docs.collect())
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     for r in got:
@@ -48,10 +48,20 @@ def test_common_lines_are_counted_by_document_and_host(spark):
     rows = [(i, f"Common  LINE {i}7 of many words here and there\n{own(i)}", "a") for i in range(4)]
     rows += [(10, f"common line 00 of many words here and there\n{own(10)}", "b"), (0, rows[0][1], "a"), (11, "common line 22 of many words here and there\nfew more", "a")]
     docs = spark.createDataFrame([(i, t, None, s, 0, 0, "", "", 0, 0, 0.0) for i, t, s in rows], DOCS)
-    got = Counter((r.doc_id, r.removed_words, r.kept) for r in line_rules.quality_rules(docs, limit_share=0.1, limit_floor=3).collect())
+    got = Counter((r.doc_id, r.removed_words, r.kept) for r in line_rules.quality_rules(docs, limit_percent=10, least_documents=4).collect())
     assert got == Counter({(0, 9, True): 2, (1, 9, True): 1, (2, 9, True): 1, (3, 9, True): 1, (10, 0, True): 1, (11, 9, False): 1})
 
 
+def test_line_limits_do_not_depend_on_one_another(spark):
+    text = lambda i, shared: f"{shared} line that several documents of this host repeat\n" + " ".join(f"o{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(12))
+    rows = [(i, text(i, "five" if i < 5 else "six" if i < 11 else f"alone{chr(97 + i % 26)}{chr(97 + i // 26)}"), None, "big", 0) for i in range(120)]
+    docs = spark.createDataFrame([(*r, 0, "", "", 0, 0, 0.0) for r in rows], DOCS)
+    gone = lambda **limits: sorted(r.doc_id for r in line_rules.quality_rules(docs, **limits).collect() if r.removed_words)
+    assert gone(limit_percent=4) == list(range(5)) + list(range(5, 11))  # 5 and 6 of 120
+    assert gone(limit_percent=5) == gone(limit_percent=90) == []
+    assert gone(limit_percent=90, limit_documents=5) == list(range(5, 11)) and gone(limit_percent=4, least_documents=6) == list(range(5, 11))
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
