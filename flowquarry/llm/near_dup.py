@@ -41,9 +41,11 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SLACK = 0.15
 PIVOT_ROUNDS = 2
 #: Members of a block, about, of the sets that share a rare shingle, and counters that tell rare from frequent.
-BLOCK, SLOTS = 512, 1 << 16
+BLOCK, SLOTS = 512, 1 << 20
 #: Members of a shingle up to which all are paired at once, and shingles of a membership table.
 FEW, COLUMNS = 16, 8_192
+#: Pieces in which the counters are added up, and pairs estimated at a time.
+PIECES, PAIRS = 64, 8_192
 CHUNK_BYTES = 1 << 20
 U = np.uint64
 
@@ -311,20 +313,33 @@ def _slots(values: np.ndarray) -> np.ndarray:
 
 
 def slot_counts(sets: DataFrame) -> np.ndarray:
-    """How often shingles fall into each of SLOTS counters: a number of values that does not grow with the sets."""
+    """How often shingles fall into each of SLOTS counters: a number of values that does not grow with the sets.
+
+    A task's counters end at 65,535, for more than that is frequent in any case.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for members in batch["members"]:
-                total += np.bincount(_slots(np.frombuffer(members.as_py(), dtype=U)), minlength=SLOTS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "number"])
+                np.add.at(total, _slots(np.frombuffer(members.as_py(), dtype=U)), 1)
+        if total.any():
+            pieces = np.minimum(total, 65_535).astype(np.uint16).reshape(PIECES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "numbers"])
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS // PIECES, dtype=np.int64)
+        for frame in frames:
+            for numbers in frame["numbers"]:
+                total += np.frombuffer(numbers, dtype=np.uint16)
+        yield pd.DataFrame({"piece": [key[0]], "numbers": [np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()]})
 
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    for slot, number in sets.select("members").mapInArrow(run, "slot bigint, number bigint").groupBy("slot").agg(F.sum("number")).collect():
-        counts[slot] = number
-    return counts
+    kind = "piece bigint, numbers binary"
+    counted = sets.select("members").mapInArrow(run, kind).groupBy("piece").applyInPandas(add, kind).collect()
+    counts = np.zeros((PIECES, SLOTS // PIECES), dtype=np.int32)
+    for piece, numbers in counted:
+        counts[piece] = np.frombuffer(numbers, dtype=np.int32)
+    return counts.ravel()
 
 
 def rare_shingles(values: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -352,11 +367,16 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return total
 
 
+def _blocks_of(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return tuple(frame[frame["block"] == frame[c].iloc[0]].reset_index(drop=True) for c in ("low", "high"))
+
+
 def _rarely_linked(crossed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all alike sets of unlike components among ``crossed`` (id, component).
 
     Shingles with the same members count once. The few members of a shingle are paired at once; those of a frequent one
-    are compared in tasks by pairs of blocks, which return no more links than members.
+    are compared in tasks by pairs of blocks: first by registers, which leaves the members with a likely partner they do
+    not meet in an earlier shingle, then these by full sets. No step returns more rows than members.
     """
     counts = slot_counts(sets)
 
@@ -377,26 +397,46 @@ def _rarely_linked(crossed: DataFrame, classes: DataFrame, sets: DataFrame, perc
     few = (some.select("shingle", F.col("id").alias("a"), F.col("component").alias("of_a")).join(some.select("shingle", F.col("id").alias("b"), F.col("component").alias("of_b")), "shingle")
            .where("a < b and of_a <> of_b").select("a", "b").distinct())
     blocks = F.ceil(F.col("number") / BLOCK)
-    blocked = dealt.where(F.col("number") > FEW).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    keyed = blocked.select("shingle", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    rows = keyed.join(sets.select("id", "members"), "id").select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "members")
+    often = dealt.where(F.col("number") > FEW)
+    keyed = (often.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+             .select("shingle", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+             .select("shingle", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    known = (classes.join(often.groupBy(F.col("id").alias("class_id")).agg(F.array_sort(F.collect_list("shingle")).alias("shingles")), "class_id")
+             .select(F.col("class_id").alias("id"), "n_shingles", "registers", "shingles"))
+
+    def hopeful(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = _blocks_of(frame)
+        here, found = frame["shingle"].iloc[0], [set(), set()]
+        sizes, of, ids = ([x[c].to_numpy() for x in (left, right)] for c in ("n_shingles", "component", "id"))
+        i, j = np.nonzero((of[0][:, None] != of[1][None, :]) & (100 * sizes[1][None, :] >= percent * sizes[0][:, None]) & (100 * sizes[0][:, None] >= percent * sizes[1][None, :]))
+        registers = [np.frombuffer(b"".join(x["registers"]), dtype=np.uint16).reshape(len(x), -1) if len(x) else None for x in (left, right)]
+        before = [[{s for s in x if s < here} for x in part["shingles"]] for part in (left, right)]
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at:at + PAIRS], j[at:at + PAIRS]
+            likely = jaccard_estimates(registers[0][a], registers[1][b], sizes[0][a].astype(float), sizes[1][b].astype(float)) >= percent / 100 - SLACK
+            for x, y in zip(a[likely].tolist(), b[likely].tolist(), strict=True):
+                if before[0][x].isdisjoint(before[1][y]):
+                    found[0].add((ids[0][x], of[0][x], left["block"].iloc[x]))
+                    found[1].add((ids[1][y], of[1][y], right["block"].iloc[y]))
+        rows = [(here, *key, frame["low"].iloc[0], frame["high"].iloc[0]) for key in found[0] | found[1]]
+        return pd.DataFrame(rows, columns=["shingle", "id", "component", "block", "low", "high"]).astype("int64")
+
+    kind = "shingle bigint, id bigint, component bigint, block bigint, low bigint, high bigint"
+    hoped = scratch.keep(keyed.join(known, "id").groupBy("shingle", "low", "high").applyInPandas(hopeful, kind), "hopeful")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = (frame[frame["block"] == frame[c].iloc[0]] for c in ("low", "high"))
-        sizes, of = ([x[c].to_numpy() for x in (left.assign(size=left["members"].str.len() // 8), right.assign(size=right["members"].str.len() // 8))] for c in ("size", "component"))
-        apart = (of[0][:, None] != of[1][None, :]) & (100 * sizes[1][None, :] >= percent * sizes[0][:, None]) & (100 * sizes[0][:, None] >= percent * sizes[1][None, :])
-        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
-        forest, ids = Forest(len(rows) + len(columns)), np.concatenate([left["id"].to_numpy()[rows], right["id"].to_numpy()[columns]])
-        if len(rows):
-            members = [[np.frombuffer(x, dtype=U) for x in part["members"].iloc[at]] for part, at in ((left, rows), (right, columns))]
+        left, right = _blocks_of(frame)
+        members = [[np.frombuffer(x, dtype=U) for x in part["members"]] for part in (left, right)]
+        forest, ids = Forest(len(left) + len(right)), np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
+        if len(left) and len(right):
             shared = shared_counts(*members)
-            union = sizes[0][rows][:, None] + sizes[1][columns][None, :] - shared
-            i, j = np.nonzero(apart[np.ix_(rows, columns)] & (100 * shared >= percent * union) & (shared > 0))
-            forest.join(i, len(rows) + j)
+            union = np.array([len(x) for x in members[0]])[:, None] + np.array([len(x) for x in members[1]])[None, :] - shared
+            i, j = np.nonzero((100 * shared >= percent * union) & (shared > 0))
+            forest.join(i, len(left) + j)
         a, b = forest.links()
         return pd.DataFrame({"a": ids[a], "b": ids[b]}).astype("int64")
 
-    many = rows.groupBy("shingle", "low", "high").applyInPandas(compare, "a bigint, b bigint").where("a <> b")
+    many = hoped.join(sets.select("id", "members"), "id").groupBy("shingle", "low", "high").applyInPandas(compare, "a bigint, b bigint").where("a <> b")
     return _exact_pairs(_likely_pairs(few, classes, percent), sets, percent).unionByName(many).distinct()
 
 
