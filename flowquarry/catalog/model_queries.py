@@ -73,7 +73,7 @@ def _(spark, d):
 
 
 def _split(spark, d):
-    rows = imputed(spark, d).withColumnRenamed("Label", "Original_Label")
+    rows = V.with_traffic_label(imputed(spark, d)).withColumnRenamed("Label", "Original_Label")
     rows = rows.withColumn("label", C.is_attack(F.col("Original_Label")).cast("double"))
     return stored(spark, d, "split", lambda: EV.stratified_split(rows, "label", ["l_orderkey", "l_linenumber", *L]))
 
@@ -119,7 +119,7 @@ def _(spark, d):
 
 @query("r07_feature_table")
 def _(spark, d):
-    return labelled_study.feature_analysis(imputed(spark, d), V.labelled(spark, d), L)
+    return labelled_study.feature_analysis(V.with_traffic_label(imputed(spark, d)), V.with_traffic_label(V.labelled(spark, d)), L)
 
 
 @query("m20_principal_axes")
@@ -149,14 +149,22 @@ def _(spark, d):
 
 
 # --- streaming -------------------------------------------------------------------------
+SLICES, FILES = 4, 2
+_SLICED: dict[tuple, str] = {}
+
+
 def _stream(spark, d):
+    """The events as a stream of four ranges of time, one a micro-batch."""
+    key = (spark.sparkContext.applicationId, d)
     events = V.table(spark, d, "events")
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    if key not in _SLICED:
+        _SLICED[key] = STREAM.store_in_slices(events, "ts", scratch_path(spark, "events-in-order"), SLICES, FILES)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(_SLICED[key])
     return STREAM.with_event_time(with_packet_features(V.packets_from_events(source)))
 
 
-def _finished_stream(spark, d):
-    return STREAM.with_end_of_input(_stream(spark, d), V.feature_packets(spark, d))
+def _finished(spark, d, plan, name):
+    return STREAM.run_finished(_stream(spark, d), V.feature_packets(spark, d), plan, name)
 
 
 @query("t02_session_flows", S.with_(S.TRACED, """
@@ -164,14 +172,14 @@ SELECT ip1 AS Canonical_IP1, ip2 AS Canonical_IP2, p1 AS Canonical_Port1, p2 AS
        sum(Is_Forward)::BIGINT AS Forward_Packets, min(Time_ns) AS start_ns, max(Time_ns) AS end_ns
 FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub"""))
 def _(spark, d):
-    return STREAM.run_to_table(STREAM.session_flows(_finished_stream(spark, d)), "sessions")
+    return _finished(spark, d, STREAM.session_flows, "sessions")
 
 
 @query("t03_second_rates", S.with_(S.PACKETS, """
 SELECT Time_ns // 1000000000 AS Time_Int, count(*) AS packets, sum(Length)::DOUBLE / 1024.0 AS kilobytes FROM packets
 GROUP BY 1"""))
 def _(spark, d):
-    return STREAM.run_to_table(STREAM.second_rates(_finished_stream(spark, d)), "rates")
+    return _finished(spark, d, STREAM.second_rates, "rates")
 
 
 @query("t04_ordered_flows", S.with_(S.TRACED, """
@@ -181,7 +189,7 @@ SELECT ip1 AS Canonical_IP1, ip2 AS Canonical_IP2, p1 AS Canonical_Port1, p2 AS
 FROM traced GROUP BY ip1, ip2, p1, p2, Protocol, sub"""))
 def _(spark, d):
     STREAM.use_rocksdb(spark)
-    return STREAM.run_to_table(STREAM.ordered_flows(_finished_stream(spark, d)), "ordered")
+    return _finished(spark, d, STREAM.ordered_flows, "ordered")
 
 
 @query("t05_streaming_dedup", S.with_(S.PACKETS, "SELECT Frame_Number, Length FROM packets"))

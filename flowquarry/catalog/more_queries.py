@@ -183,7 +183,7 @@ def _(spark, d):
     return found.agg(F.count("KMeans_Cluster").alias("flows"), F.count_distinct("KMeans_Cluster").cast("int").alias("clusters"))
 
 
-@query("s15_scored_rows", S.with_(IMPUTED + f",\nt AS (SELECT {ATTACK} AS label FROM imputed)", """
+@query("s15_scored_rows", S.with_(IMPUTED + f",\nt AS (SELECT CASE WHEN {V.TRAFFIC_ATTACK} THEN 1 ELSE 0 END AS label FROM imputed)", """
 SELECT label::DOUBLE AS label, (count(*) - round(count(*) * 0.85))::BIGINT AS "rows", true AS probabilities_fit FROM t GROUP BY label"""))
 def _(spark, d):
     scores = QUERIES["s15_m11_m19_forest_scores"](spark, d)

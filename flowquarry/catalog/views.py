@@ -88,3 +88,16 @@ LABELLED_FEATURES = ["f_packets", "f_bytes", "f_iat", "f_rate", "f_header"]
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LABELLED_SQL.format(lineitem="{li}"), li=table(spark, sf_dir, "lineitem"))
+
+
+#: Labels that the features explain, for the models: bounds on packets and gaps, one a family.
+TRAFFIC_LABELS = {
+    "f_packets >= 40 AND f_iat <= 0.04": "DDoS", "f_packets <= 6": "PortScan", "f_packets BETWEEN 7 AND 25 AND f_iat >= 0.09": " Bot ",
+    "f_packets BETWEEN 33 AND 39 AND f_iat <= 0.02": "FTP-Patator", "f_packets BETWEEN 26 AND 32 AND f_iat BETWEEN 0.05 AND 0.08": "Web Attack - XSS",
+}
+TRAFFIC_ATTACK = "(" + " OR ".join(f"({x})" for x in TRAFFIC_LABELS) + ")"
+
+
+def with_traffic_label(flows: DataFrame) -> DataFrame:
+    cases = " ".join(f"WHEN {condition} THEN '{label}'" for condition, label in TRAFFIC_LABELS.items())
+    return flows.withColumn("Label", F.expr(f"CASE {cases} ELSE 'BENIGN' END"))

@@ -38,7 +38,7 @@ def train_forest(train: DataFrame, cols: list[str], label: str = "label", trees:
     stages.append(VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="error"))
     stages.append(RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed,
-        maxMemoryInMB=1024, subsamplingRate=1.0,
+        maxMemoryInMB=1024, subsamplingRate=1.0, maxBins=64,
     ))
     return Pipeline(stages=stages).fit(rows)
 

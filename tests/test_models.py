@@ -113,6 +113,40 @@ def test_ordered_flows_across_batches(spark, folder):
     assert out == [(0, 3, 2, 6.0), (1, 1, 1, 0.0)]
 
 
+def test_finished_streams_lose_nothing_in_many_batches(spark, folder):
+    STREAM.use_rocksdb(spark)
+    random = np.random.default_rng(8)
+    times = np.sort(random.choice(9_000, 160, replace=False))
+    packets = [_packet(i, int(t), *(("a", "b") if random.random() < 0.7 else ("b", "a"))) for i, t in enumerate(times)]
+    stream = _batches(spark, folder, [packets[i:i + 20] for i in range(0, 160, 20)])
+    finished = spark.read.parquet(os.path.join(folder, "in"))
+    cuts = np.flatnonzero(np.diff(times) > 120) + 1
+    flows = [(int(x[0]), len(x)) for x in np.split(times, cuts)]
+    got = STREAM.run_finished(stream, finished, STREAM.session_flows, "many").collect()
+    assert sorted((r.start_ns // 10**9, r.Total_Packets) for r in got) == flows and len(flows) > 3
+    ordered = STREAM.run_finished(stream, finished, STREAM.ordered_flows, "many").collect()
+    assert sorted((r.start_ns // 10**9, r.Total_Packets) for r in ordered) == flows and [r.Subflow_ID for r in sorted(ordered, key=lambda r: r.start_ns)] == list(range(len(flows)))
+    rates = STREAM.run_finished(stream, finished, STREAM.second_rates, "many").collect()
+    assert sorted((r.Time_Int, r.packets) for r in rates) == [(int(t), 1) for t in times]
+
+
+def test_slices_arrive_in_order(spark, folder):
+    path = STREAM.store_in_slices(spark.range(100).selectExpr("id % 50 AS t"), "t", os.path.join(folder, "slices"), slices=4, files=1)
+    files = sorted((os.path.getmtime(os.path.join(path, n)), os.path.join(path, n)) for n in os.listdir(path) if n.endswith(".parquet"))
+    values = [[r.t for r in spark.read.parquet(f).collect()] for _, f in files]
+    assert len(values) == 4 and sum(map(len, values)) == 100 and all(max(a) < min(b) for a, b in zip(values, values[1:]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the shared tables")
+def test_registered_forest_learns_its_labels(spark):
+    from flowquarry.catalog import QUERIES
+
+    metrics = QUERIES["m11_forest_test_metrics"](spark, "/root/testdata/sf0.001").first()
+    assert metrics.accuracy > 0.97 and metrics.recall > 0.9
+    record = QUERIES["m12_model_record"](spark, "/root/testdata/sf0.001").first()
+    assert (record.n_estimators, record.max_depth) == (200, 30)
+
+
 @pytest.mark.parametrize("name, trainer, size", [
     ("m11_forest_test_metrics", "train_forest", {"trees": 200, "depth": 30}), ("s15_m11_m19_forest_scores", "train_forest", {"trees": 200, "depth": 30}),
     ("e3_capture_scoring", "train_forest", {"trees": 200, "depth": 30}), ("r07_feature_table", "train_forest", {"trees": 100, "depth": 15}),
@@ -131,7 +165,7 @@ def test_registered_models_are_of_full_size(spark, monkeypatch, name, trainer, s
         bound.apply_defaults()
         raise Asked({k: bound.arguments[k] for k in size})
 
-    rows = spark.createDataFrame([("train", "BENIGN", "BENIGN", 0, 1)], "split string, Original_Label string, Label string, `FIN Flag Count` int, `ACK Flag Count` int")
+    rows = spark.createDataFrame([("train", "BENIGN", "BENIGN", 0, 1, 1.0, 0.0)], "split string, Original_Label string, Label string, `FIN Flag Count` int, `ACK Flag Count` int, f_packets double, f_iat double")
     monkeypatch.setattr(forest, trainer, train)
     for place, function in ((model_queries, "_split"), (model_queries, "imputed"), (model_queries.V, "labelled"), (model_queries.V, "feature_packets")):
         monkeypatch.setattr(place, function, lambda *_: rows)
