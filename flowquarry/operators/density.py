@@ -25,12 +25,15 @@ from flowquarry.operators.ordered import numbered
 from flowquarry.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, component) with the smallest id of each component. ``edges`` has (a, b)."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) with the smallest id of each component. ``edges`` has (a, b).
+
+    Labels only fall, so the search ends by itself, after about the logarithm of the longest path.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         # smallest label among neighbours; min combines map-side, so a hub is no hot spot
         seen = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
         lowered = labels.join(seen, "id", "left").select("id", "component", F.least("component", F.coalesce("_near", "component")).alias("_new"))
@@ -44,7 +47,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         labels = jumped.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError("component search did not settle")
 
 
 def _apart(left: str, right: str) -> Column:
