@@ -43,7 +43,6 @@ CROWD = 32_768
 #: Node pairs and codes looked at together in a task, and shingles hashed together.
 PAIRS, GATHERED, SHINGLES = 1 << 19, 1 << 16, 1 << 16
 U = np.uint64
-ALL = U(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None) -> int:
