@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from flowquarry import fixed
 from flowquarry.catalog import sql as S, views as V
-from flowquarry.catalog.book import query, stored
-from flowquarry.catalog.packet_queries import flow_table
+from flowquarry.catalog.book import query, round_to, stored
+from flowquarry.catalog.packet_queries import FLOW32, flow_table
 from flowquarry.catalog.table_queries import imputed
 from flowquarry.functions import columns as C
 from flowquarry.operators import cleaning, density, evaluation as EV, flows as FL, forest, isolation, ranking, statistics as ST
@@ -17,7 +17,7 @@ from flowquarry.operators.packets import with_packet_features
 from flowquarry.options import AnomalyOptions
 from flowquarry.plans import capture_study, labelled_study
 from flowquarry.session import scratch_path
-from flowquarry.streaming import flows as STREAM
+from flowquarry.streaming import directional, flows as STREAM
 
 OPT = AnomalyOptions()
 L = V.LABELLED_FEATURES
@@ -199,9 +199,20 @@ def _(spark, d):
     return STREAM.run_to_table(STREAM.distinct_frames(doubled, ["Frame_Number"]), "frames").select("Frame_Number", "Length")
 
 
+@query("t06_stream_flow32", FLOW32)
+def _(spark, d):
+    STREAM.use_rocksdb(spark)
+    out = _finished(spark, d, directional.directional_flows, "directional")
+    return round_to(out, 3, *[c for c in fixed.FLOW32_FEATURES if "Std" in c or c.endswith("Variance")])
+
+
 @query("s16_t01_micro_batch_scoring")
 def _(spark, d):
+    """Flows of a stream, scored when they close: the rows of ``e3_capture_scoring``."""
+    STREAM.use_rocksdb(spark)
     model = capture_study.capture_model(V.feature_packets(spark, d))
-    out, log = scratch_path(spark, "scored"), scratch_path(spark, "scored-log")
-    STREAM.score_batches(_stream(spark, d), lambda batch: capture_study.apply_model(model, FL.flow32(batch)), out, log).awaitTermination()
-    return spark.read.parquet(out).select("Flow_ID", "Prediction", "Attack_Probability")
+
+    def scored(flows):
+        return capture_study.apply_model(model, flows).select("Flow_ID", "Prediction", "Attack_Probability")
+
+    return _finished(spark, d, lambda packets: directional.score_closed_flows(packets, scored), "scored")

@@ -348,7 +348,10 @@ SELECT FlowID AS Flow_ID, arg_min(Source, Time_ns * 10000000 + Frame_Number) AS
        any_value(Protocol) AS Protocol, {', '.join(cols)} FROM traced GROUP BY FlowID""")
 
 
-@query("f15_f16_flow32", _flow32_sql())
+FLOW32 = _flow32_sql()
+
+
+@query("f15_f16_flow32", FLOW32)
 def _(spark, d):
     out = FL.flow32(V.feature_packets(spark, d))
     return round_to(out, 3, *[c for c in fixed.FLOW32_FEATURES if "Std" in c or c.endswith("Variance")])
