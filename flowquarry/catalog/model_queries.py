@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowquarry import fixed
 from flowquarry.catalog import sql as S, views as V
 from flowquarry.catalog.book import query, round_to, stored
-from flowquarry.catalog.packet_queries import FLOW32, flow_table
+from flowquarry.catalog.packet_queries import FLOW32_FINE, flow_table
 from flowquarry.catalog.table_queries import imputed
 from flowquarry.functions import columns as C
 from flowquarry.operators import cleaning, density, evaluation as EV, flows as FL, forest, isolation, ranking, statistics as ST
@@ -199,11 +199,13 @@ def _(spark, d):
     return STREAM.run_to_table(STREAM.distinct_frames(doubled, ["Frame_Number"]), "frames").select("Frame_Number", "Length")
 
 
-@query("t06_stream_flow32", FLOW32)
+@query("t06_stream_flow32", FLOW32_FINE)
 def _(spark, d):
     STREAM.use_rocksdb(spark)
     out = _finished(spark, d, directional.directional_flows, "directional")
-    return round_to(out, 3, *[c for c in fixed.FLOW32_FEATURES if "Std" in c or c.endswith("Variance")])
+    spreads = [c for c in fixed.FLOW32_FEATURES if "Std" in c or c.endswith("Variance")]
+    lengths = [c for c in spreads if "Packet Length" in c]
+    return round_to(round_to(out, 6, *lengths), 3, *[c for c in spreads if c not in lengths])
 
 
 @query("s16_t01_micro_batch_scoring")

@@ -9,6 +9,7 @@ from flowquarry.catalog import sql as S, views as V
 from flowquarry.catalog.book import query, round_to, stored
 from flowquarry.functions import columns as C
 from flowquarry.operators import cleaning, flows as FL, ordered, packets as P, selection as SEL, statistics as ST
+from flowquarry.plans import capture_study
 from flowquarry.session import scratch_path
 from flowquarry.sources import readers, writers
 
@@ -317,7 +318,7 @@ def _(spark, d):
     return FL.trace_directional(V.feature_packets(spark, d)).select("Frame_Number", "Fwd_Len", "Bwd_Len", "Flow_IAT_us", "Fwd_IAT_us", "Bwd_IAT_us")
 
 
-def _flow32_sql() -> str:
+def _flow32_sql(traced: str = S.TRACED, length_digits: int = 3) -> str:
     fwd, bwd = "CASE WHEN Is_Forward = 1 THEN {} END", "CASE WHEN Is_Forward = 0 THEN {} END"
     z = lambda e: f"coalesce(({e})::DOUBLE, 0.0::DOUBLE)"
     dur = "greatest((max(Time_ns) - min(Time_ns))::DOUBLE / 1e9, 1e-6)"
@@ -342,13 +343,16 @@ def _flow32_sql() -> str:
         "FIN Flag Count": "sum(Flag_FIN)::DOUBLE", "PSH Flag Count": "sum(Flag_PSH)::DOUBLE", "ACK Flag Count": "sum(Flag_ACK)::DOUBLE",
     }
     assert list(exprs) == fixed.FLOW32_FEATURES
-    cols = [f'round({e}, 3) AS "{n}"' if "Std" in n or n.endswith("Variance") else f'{e} AS "{n}"' for n, e in exprs.items()]
-    return S.with_(S.TRACED, f"""
+    digits = {n: length_digits if "Packet Length" in n else 3 for n in exprs if "Std" in n or n.endswith("Variance")}
+    cols = [f'round({e}, {digits[n]}) AS "{n}"' if n in digits else f'{e} AS "{n}"' for n, e in exprs.items()]
+    return S.with_(traced, f"""
 SELECT FlowID AS Flow_ID, arg_min(Source, Time_ns * 10000000 + Frame_Number) AS Source_IP, arg_min(Destination, Time_ns * 10000000 + Frame_Number) AS Destination_IP,
        any_value(Protocol) AS Protocol, {', '.join(cols)} FROM traced GROUP BY FlowID""")
 
 
 FLOW32 = _flow32_sql()
+# Sums merged in another order than row by row: lengths are compared finer than the ties of three digits (a sixteenth of a unit).
+FLOW32_FINE = _flow32_sql(length_digits=6)
 
 
 @query("f15_f16_flow32", FLOW32)
@@ -357,6 +361,28 @@ def _(spark, d):
     return round_to(out, 3, *[c for c in fixed.FLOW32_FEATURES if "Std" in c or c.endswith("Variance")])
 
 
+# The export holds copies of rows: equal in time and frame number, so they must fall into one flow whichever a window puts first.
+COPIES_TOGETHER = S.FLOW_STEPS.replace("ROWS UNBOUNDED PRECEDING", "RANGE UNBOUNDED PRECEDING")
+LENIENT = CLEAN + f""",
+lenient AS (
+SELECT coalesce(try_cast("No." AS BIGINT), -1) AS Frame_Number, coalesce(Source, '0.0.0.0') AS Source, coalesce(Destination, '0.0.0.0') AS Destination,
+       CASE WHEN try_cast(Time AS DOUBLE) >= 0 THEN CAST(try_cast(Time AS DECIMAL(28,9)) * 1000000000 AS BIGINT) ELSE 0 END AS Time_ns,
+       coalesce(Protocol, 'UNKNOWN') AS Protocol, CAST(coalesce(try_cast(Length AS DOUBLE), 0) AS INT) AS Length, coalesce(Info, '') AS Info FROM raw_rows),
+ported AS (
+SELECT *, {', '.join(f"coalesce(try_cast({S.INFO_PORT % i} AS INT), -1) AS {n}" for i, n in ((1, 'Source_Port'), (2, 'Destination_Port')))},
+       {', '.join(f"CAST(contains(upper(Info), '{f}') AS INT) AS Flag_{f}" for f in ('FIN', 'PSH', 'ACK'))} FROM lenient),
+keyed AS (
+SELECT * EXCLUDE fwd, CASE WHEN fwd THEN Source ELSE Destination END AS ip1, CASE WHEN fwd THEN Destination ELSE Source END AS ip2,
+       CASE WHEN fwd THEN Source_Port ELSE Destination_Port END AS p1, CASE WHEN fwd THEN Destination_Port ELSE Source_Port END AS p2, CAST(fwd AS INT) AS Is_Forward
+FROM (SELECT *, Source < Destination OR (Source = Destination AND Source_Port <= Destination_Port) AS fwd FROM ported))""" + COPIES_TOGETHER
+
+
+@query("e2_directional_capture", _flow32_sql(LENIENT))
+def _(spark, d):
+    out = capture_study.directional_capture(raw_named(spark, d))
+    return round_to(out, 3, *[c for c in fixed.FLOW32_FEATURES if "Std" in c or c.endswith("Variance")])
+
+
 @query("p12_p14_flow_projection", S.with_(S.FLOWS, """
 SELECT FlowID, concat_ws('_', Source_IP, Destination_IP, Protocol) AS pair_name, 'Packet Length Std' AS metric_title FROM flows"""))
 def _(spark, d):

@@ -17,7 +17,7 @@ SELECT event_id AS Frame_Number,
               CASE CAST(json_extract_string(props, '$.k') AS INT) % 4 WHEN 0 THEN 'SYN' WHEN 1 THEN 'SYN, ACK' WHEN 2 THEN 'PSH, ACK' ELSE 'FIN, ACK' END, ']') AS Info
 FROM events)"""
 
-_PORT = r"regexp_extract(Info, '(\d{1,5})\s*(?:→|>|->)\s*(\d{1,5})', %d)"
+INFO_PORT = r"regexp_extract(Info, '(\d{1,5})\s*(?:→|>|->)\s*(\d{1,5})', %d)"
 _FALLBACK = {
     side: "CASE Protocol " + " ".join(f"WHEN '{p}' THEN {v[side]}" for p, v in fixed.PROTOCOL_PORTS.items()) + " ELSE -1 END"
     for side in (0, 1)
@@ -25,7 +25,7 @@ _FALLBACK = {
 
 
 def _port(side: int) -> str:
-    found = _PORT % (side + 1)
+    found = INFO_PORT % (side + 1)
     return f"CASE WHEN {found} <> '' THEN CAST({found} AS INT) ELSE {_FALLBACK[side]} END"
 
 
@@ -46,7 +46,8 @@ SELECT *, CASE WHEN Source <= Destination THEN Source ELSE Destination END AS ip
        CAST(Source <= Destination AS INT) AS Is_Forward
 FROM feature_packets)"""
 
-TRACED = KEYED + """,
+#: From ``keyed`` to ``traced``: gaps, subflow numbers, flow ids.
+FLOW_STEPS = """,
 gaps AS (
 SELECT *, coalesce(Time_ns - lag(Time_ns) OVER (PARTITION BY ip1, ip2, p1, p2, Protocol ORDER BY Time_ns, Frame_Number), 0) AS gap_ns,
        coalesce(Time_ns - lag(Time_ns) OVER (PARTITION BY ip1, ip2, p1, p2, Protocol, Is_Forward ORDER BY Time_ns, Frame_Number), 0) AS dir_gap_ns
@@ -59,6 +60,7 @@ traced AS (
 SELECT *, concat(ip1, '_', ip2, '_', p1, '_', p2, '_', Protocol, '_F', sub) AS FlowID,
        CASE WHEN gap_ns > 120000000000 THEN 0 ELSE gap_ns END AS iat_ns
 FROM numbered)"""
+TRACED = KEYED + FLOW_STEPS
 
 FLOWS = TRACED + f""",
 flow_base AS (

@@ -586,9 +586,9 @@ fused AS (SELECT *, CASE WHEN (RF_Prediction <> 'BENIGN') = (ANN_Prediction <> '
   CASE WHEN (RF_Prediction <> 'BENIGN') <> (ANN_Prediction <> 'BENIGN') THEN 'MODEL DISAGREEMENT' WHEN RF_Prediction <> 'BENIGN' THEN 'ATTACK' ELSE 'BENIGN' END AS Final_Status FROM dual)"""
 
 
-def dual(spark, d):
+def dual(spark, d, more=()):
     return flow_table(spark, d).select(
-        "FlowID", "Source_IP", "Destination_IP", "Protocol", F.when(F.col("Total_Packets") > 5, "ATTACK").otherwise("BENIGN").alias("RF_Prediction"),
+        *more, "FlowID", "Source_IP", "Destination_IP", "Protocol", F.when(F.col("Total_Packets") > 5, "ATTACK").otherwise("BENIGN").alias("RF_Prediction"),
         (F.col("Total_Packets") % 10 / 10.0).alias("RF_Score"),
         F.when(F.col("Total_Bytes") > 4000, "DoS").when(F.col("Total_Bytes") % 5 == 0, "Botnet").otherwise("BENIGN").alias("ANN_Prediction"), (F.col("Total_Bytes") % 10 / 10.0).alias("ANN_Score"))
 
@@ -603,11 +603,18 @@ def _(spark, d):
     return rows.select("FlowID", "Model_Agreement", "consensus", "high_recall", "conservative")
 
 
-@query("m23_detection_report", S.with_(DUAL, """
+_TOP_THREE = ("array_to_string(list_transform(list_sort([" + ", ".join(f"{{'rank': -round(abs({c} - m_{c}) / r_{c}, 6), 'feature': '{c}'}}" for c in _EXPLAIN)
+              + "])[1:3], lambda s: s.feature), ', ')")
+_BENIGN_FIT = ",\nfit AS (SELECT " + ", ".join(f"median({c}) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS r_{c}" for c in _EXPLAIN) + """
+FROM fused JOIN flows USING (FlowID) WHERE Final_Status = 'BENIGN')"""
+
+
+@query("m23_detection_report", S.with_(DUAL + _BENIGN_FIT, """
 SELECT FlowID, Source_IP, Destination_IP, Protocol, RF_Prediction, RF_Score, ANN_Prediction, ANN_Score, Final_Status,
-       CASE WHEN Final_Status = 'BENIGN' THEN 'BENIGN' WHEN ANN_Prediction <> 'BENIGN' THEN ANN_Prediction ELSE 'ATTACK' END AS Final_Predicted_Class, Model_Agreement, '' AS Explanation FROM fused"""))
+       CASE WHEN Final_Status = 'BENIGN' THEN 'BENIGN' WHEN ANN_Prediction <> 'BENIGN' THEN ANN_Prediction ELSE 'ATTACK' END AS Final_Predicted_Class, Model_Agreement,
+       CASE WHEN Final_Status = 'BENIGN' THEN '' ELSE """ + _TOP_THREE + """ END AS Explanation FROM fused JOIN flows USING (FlowID, Source_IP, Destination_IP, Protocol), fit"""))
 def _(spark, d):
-    return SEL.detection_report(EV.fuse_verdicts(dual(spark, d)).withColumn("Explanation", F.lit("")))
+    return EV.explained_report(dual(spark, d, _EXPLAIN), _EXPLAIN)
 
 
 @query("a23_detection_summary", S.with_(DUAL, """

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowquarry.functions import columns as C
+from flowquarry.operators.investigation import explain
 from flowquarry.operators.ordered import BLOCK_ROWS, numbered, running_totals
 from flowquarry.operators.quantiles import percentile_row
+from flowquarry.operators.selection import detection_report
 
 
 # --- split and scaling -----------------------------------------------------------------
@@ -142,6 +144,16 @@ def fuse_verdicts(scored: DataFrame, strategy: str = "consensus") -> DataFrame:
     return out.withColumn("Final_Predicted_Class", F.when(F.col("Final_Status") == "BENIGN", "BENIGN").otherwise(named))
 
 
+def explained_report(scored: DataFrame, features: list[str], strategy: str = "consensus") -> DataFrame:
+    """Fused verdicts with the features that set each alert apart from the flows both models pass, as the 12-column report.
+
+    Flows that end as BENIGN have an empty explanation, and so has everything if no flow is benign.
+    """
+    fused = fuse_verdicts(scored, strategy)
+    told = explain(fused, features, F.col("Final_Status") == "BENIGN")
+    return detection_report(told.withColumn("Explanation", F.when(F.col("Final_Status") == "BENIGN", "").otherwise(F.col("Explanation"))))
+
+
 def detection_summary(fused: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     agree = F.count(F.when(F.col("Model_Agreement") == "AGREE", 1))

@@ -27,6 +27,12 @@ def with_ports(df: DataFrame) -> DataFrame:
     return df.withColumns(ports).drop("_p1", "_p2")
 
 
+def with_info_ports(df: DataFrame) -> DataFrame:
+    """Ports from the info text only; -1 on both sides where it names none, whatever the protocol."""
+    text = F.coalesce(F.col("Info").cast("string"), F.lit(""))
+    return df.withColumns({"Source_Port": C.port_from_info(text, 1), "Destination_Port": C.port_from_info(text, 2)})
+
+
 def with_flags(df: DataFrame, flags: list[str] | None = None, bracketed_only: bool = False) -> DataFrame:
     flags = flags or fixed.TCP_FLAGS
     if "Info" not in df.columns:

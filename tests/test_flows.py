@@ -103,3 +103,21 @@ def test_empty_input(spark):
 def test_timeout_must_be_positive(spark):
     with pytest.raises(ValueError):
         FL.flow37(frame(spark, []), FlowOptions(timeout_seconds=0))
+
+
+def test_directional_program_takes_ports_from_the_text_alone(spark):
+    from flowquarry.operators.packets import with_packet_features
+    from flowquarry.operators import cleaning
+    from flowquarry.plans import capture_study
+
+    raw = spark.createDataFrame([
+        ("1", "0.0", A, B, "DHCP", "300", "DHCP Discover"), ("2", "0.5", B, A, "DHCP", "310", "DHCP Offer"), ("n/a", "bad", A, B, "DHCP", "oops", None),
+        ("4", "1.0", A, B, "TCP", "60", "5 > 80 [SYN]"), ("5", "1.5", B, A, "TCP", "60", "80 > 5 [FIN, ACK]")],
+        "Frame_Number string, Time string, Source string, Destination string, Protocol string, Length string, Info string")
+    out = {r["Flow_ID"]: r for r in capture_study.directional_capture(raw).collect()}
+    dhcp, tcp = out[f"{A}_{B}_-1_-1_DHCP_F0"], out[f"{A}_{B}_5_80_TCP_F0"]
+    assert len(out) == 2 and (dhcp["Total Fwd Packets"], dhcp["Total Backward Packets"], dhcp["Min Packet Length"]) == (2.0, 1.0, 0.0)
+    assert (tcp["FIN Flag Count"], tcp["ACK Flag Count"], tcp["Flow Duration"]) == (1.0, 1.0, 500_000.0)
+    defaults = with_packet_features(cleaning.clean_packets_lenient(raw)).filter("Protocol = 'DHCP'")
+    assert defaults.filter("Source_Port = 67 OR Source_Port = 68").count() == 3  # the other program fills in the protocol's ports
+    assert capture_study.directional_capture(raw.limit(0)).count() == 0

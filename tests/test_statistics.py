@@ -124,6 +124,15 @@ def test_verdict_fusion(spark):
         EV.fuse_verdicts(df, "other")
 
 
+def test_report_explains_alerts_only(spark):
+    rows = [(str(i), "BENIGN", "BENIGN", float(i), float(i % 4)) for i in range(8)] + [("x", "ATTACK", "DoS", 3.0, 90.0), ("y", "BENIGN", "DoS", 500.0, 1.0)]
+    df = spark.createDataFrame(rows, "FlowID string, RF_Prediction string, ANN_Prediction string, size double, rate double")
+    out = {r.FlowID: (r.Final_Predicted_Class, r.Explanation) for r in EV.explained_report(df, ["size", "rate"]).collect()}
+    assert out["x"] == ("DoS", "rate, size") and out["y"] == ("DoS", "size, rate") and out["3"] == ("BENIGN", "")
+    alone = EV.explained_report(df.filter("FlowID = 'x'"), ["size", "rate"]).first()
+    assert (alone.Final_Status, alone.Explanation) == ("ATTACK", "")
+
+
 def test_hash_sample_is_stable(spark):
     ids = lambda n: sorted(r.id for r in SEL.hash_sample(spark.range(500).repartition(n), 50, ["id"]).collect())
     assert ids(1) == ids(6) and len(ids(1)) == 50
