@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from flowquarry.catalog import sql as S, views as V
 from flowquarry.catalog.book import QUERIES, query, round_to
 from flowquarry.catalog.model_queries import scaled_flows
-from flowquarry.catalog.packet_queries import flow_table
+from flowquarry.catalog.packet_queries import CAPTURE, flow_table
 from flowquarry.catalog.table_queries import ANOMALIES, ATTACK, DUAL, IMPUTED, INVESTIGATED, SCORED, dual, investigated, scored
 from flowquarry.functions import columns as C
-from flowquarry.operators import evaluation as EV, forest, investigation as INV, isolation, packets as P, selection as SEL, statistics as ST
+from flowquarry.operators import evaluation as EV, forest, investigation as INV, isolation, ordered, packets as P, selection as SEL, statistics as ST
 from flowquarry.options import AnomalyOptions
 from flowquarry.session import scratch_path
 from flowquarry.sources import readers
@@ -101,6 +101,19 @@ def _(spark, d):
     return round_to(ST.histogram(V.labelled(spark, d), F.col("f_rate")), 6, "bin_start")
 
 
+@query("a15_inter_arrival_histogram_log", S.with_(CAPTURE, _hist("round(log10(IAT), 9)", "iat", where="IAT > 0")))
+def _(spark, d):
+    """Times between neighbouring packets of the whole capture; equal times (0) have no place on a log axis."""
+    rows = ordered.capture_features(V.packets(spark, d)).filter("IAT > 0").select(F.round(F.log10("IAT"), 9).alias("x"))
+    return round_to(ST.histogram(rows, F.col("x")), 6, "bin_start")
+
+
+@query("a20_duration_by_verdict", S.with_(SCORED, _hist("round(log10(Flow_Duration), 9)", "scored", "Prediction")))
+def _(spark, d):
+    rows = scored(spark, d).withColumn("x", F.round(F.log10("Flow_Duration"), 9))
+    return round_to(ST.histogram(rows, F.col("x"), by="Prediction"), 6, "bin_start")
+
+
 @query("a20_size_by_verdict_packets", S.with_(SCORED, _hist("Total_Packets::DOUBLE", "scored", "Prediction")))
 def _(spark, d):
     return round_to(ST.histogram(scored(spark, d), F.col("Total_Packets"), by="Prediction"), 6, "bin_start")
