@@ -106,6 +106,25 @@ def test_sessions_across_batches(spark, folder):
     assert out == [(0, 3, 2), (302, 1, 1)]  # 180 - 60 is exactly the timeout; 302 - 180 is longer
 
 
+def test_a_hot_conversation_is_summed_in_cells_before_its_sessions_are_cut(spark, folder):
+    random = np.random.default_rng(3)
+    gaps = random.choice([1, 40 * 10**9, 120 * 10**9, 120 * 10**9 + 1000, 125 * 10**9, 131 * 10**9], 400, p=[0.5, 0.3, 0.1, 0.04, 0.03, 0.03])
+    times = np.cumsum(gaps) // 1000 * 1000
+    rows = [(i, int(t), "a", "b", 1, 2, "TCP", 100) for i, t in enumerate(times)]
+    other = [(1000 + i, int(t), None if i % 2 else "c", "d", 1, None, "UDP", None) for i, t in enumerate(times[::40])]
+    packets = sorted(rows + other, key=lambda r: r[1])
+    stream = _batches(spark, folder, [packets[i:i + 70] for i in range(0, len(packets), 70)])
+    finished = spark.read.parquet(os.path.join(folder, "in"))
+    got = STREAM.run_finished(stream, finished, STREAM.session_flows, "hot").collect()
+    flows = np.split(times, np.flatnonzero(np.diff(times) > 120 * 10**9) + 1)
+    assert sorted((r.start_ns, r.end_ns, r.Total_Packets, r.Total_Bytes) for r in got if r.Protocol == "TCP") == [
+        (int(x[0]), int(x[-1]), len(x), 100 * len(x)) for x in flows] and len(flows) > 20
+    assert sum(r.Total_Packets for r in got if r.Protocol == "UDP") == len(other)
+    plan = STREAM.session_flows(STREAM.with_event_time(finished))._jdf.queryExecution().toString()
+    assert "hashpartitioning(window" in plan  # a 5-tuple is spread by cell, then by 5-tuple
+    assert STREAM.session_flows(STREAM.with_event_time(finished.limit(0))).collect() == []
+
+
 def test_ordered_flows_across_batches(spark, folder):
     STREAM.use_rocksdb(spark)
     stream = _batches(spark, folder, [[_packet(2, 6), _packet(1, 0)], [_packet(3, 12, "b", "a"), _packet(4, 150)], [_packet(5, 900)]])
