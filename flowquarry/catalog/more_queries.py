@@ -8,9 +8,10 @@ from flowquarry.catalog import sql as S, views as V
 from flowquarry.catalog.book import QUERIES, query, round_to
 from flowquarry.catalog.model_queries import scaled_flows
 from flowquarry.catalog.packet_queries import CAPTURE, flow_table
-from flowquarry.catalog.table_queries import ANOMALIES, ATTACK, DUAL, IMPUTED, INVESTIGATED, SCORED, dual, investigated, scored
+from flowquarry.catalog.table_queries import ANOMALIES, ATTACK, DUAL, IMPUTED, INVESTIGATED, L, SCORED, dual, imputed, investigated, scored
 from flowquarry.functions import columns as C
 from flowquarry.operators import evaluation as EV, forest, investigation as INV, isolation, ordered, packets as P, selection as SEL, statistics as ST
+from flowquarry.operators.neighbours import neighbour_information
 from flowquarry.options import AnomalyOptions
 from flowquarry.session import scratch_path
 from flowquarry.sources import readers
@@ -202,3 +203,28 @@ def _(spark, d):
     scores = QUERIES["s15_m11_m19_forest_scores"](spark, d)
     fits = F.col("Attack_Probability").between(0, 1) & ((F.col("Attack_Probability") >= 0.5) == (F.col("Prediction_Label") == 1))
     return scores.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(fits | (F.abs(F.col("Attack_Probability") - 0.5) < 1e-9)).alias("probabilities_fit"))
+
+
+def _digamma_sql(n: str) -> str:
+    """Digamma by the recurrence and the series, as text."""
+    x = f"({n} + 8.0::DOUBLE)"
+    series = f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * pow({x}, 2)) + 1 / (120 * pow({x}, 4)) - 1 / (252 * pow({x}, 6)) + 1 / (240 * pow({x}, 8)) - 1 / (132 * pow({x}, 10)))"
+    return "(" + series + "".join(f" - 1 / ({n} + {i}.0::DOUBLE)" for i in range(8)) + ")"
+
+
+@query("r03_neighbour_information", S.with_(IMPUTED + f""",
+t AS (SELECT *, CASE WHEN {V.TRAFFIC_ATTACK} THEN 1 ELSE 0 END AS y FROM imputed),
+x AS ({" UNION ALL ".join(f"SELECT '{c}' AS f, {c} AS v, y FROM t" for c in L)}),
+near AS (SELECT f, y, v, count(*) OVER (PARTITION BY f, y) AS c, count(*) OVER (PARTITION BY f, y, v) AS same, count(*) OVER (PARTITION BY f, v) AS at_value,
+  list_sort(list_filter([{", ".join(f"abs({d}(v, {i}) OVER w - v)" for d in ("lag", "lead") for i in (1, 2, 3))}], lambda e: e IS NOT NULL)) AS ds
+  FROM x WINDOW w AS (PARTITION BY f, y ORDER BY v)),
+balls AS (SELECT *, ds[least(3, len(ds))] AS r, len(list_filter(ds, lambda e: e < ds[least(3, len(ds))])) + 1 AS closer FROM near),
+upto AS (SELECT f, v, sum(count(*)) OVER (PARTITION BY f ORDER BY v) AS n FROM x GROUP BY f, v),
+counted AS (SELECT b.f, b.c, CASE WHEN b.r = 0 THEN b.same ELSE b.closer END AS s,
+  CASE WHEN b.r = 0 THEN b.at_value ELSE greatest(b.closer, coalesce(h.n, 0) - coalesce(l.n, 0)) END AS m
+  FROM balls b ASOF LEFT JOIN upto h ON b.f = h.f AND b.v + b.r > h.v ASOF LEFT JOIN upto l ON b.f = l.f AND b.v - b.r >= l.v)""", f"""
+SELECT f AS feature, round(greatest(0.0, {_digamma_sql("count(*)")} + avg({_digamma_sql("s")} - {_digamma_sql("c")} - {_digamma_sql("m")})), 6) AS neighbour_information
+FROM counted GROUP BY f"""))
+def _(spark, d):
+    rows = V.with_traffic_label(imputed(spark, d))
+    return round_to(neighbour_information(rows, L, C.is_attack(F.col("Label"))), 6, "neighbour_information")

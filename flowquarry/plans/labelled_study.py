@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowquarry.functions import columns as C
 from flowquarry.operators import cleaning, evaluation as EV, forest, ranking, statistics as ST
+from flowquarry.operators.neighbours import neighbour_information
 from flowquarry.session import cut_lineage
 
 
@@ -16,7 +17,8 @@ def feature_analysis(cleaned: DataFrame, raw: DataFrame, cols: list[str], label:
     pairs = cut_lineage(ST.correlations(cleaned, cols))
     return ranking.feature_table(
         ST.feature_profile(cleaned, cols, raw), ST.strongest_partner(pairs, cols), ranking.anova_f(cleaned, cols, attack),
-        ranking.mutual_information(cleaned, cols, attack), forest.importances(model, cols),
+        neighbour_information(cleaned, cols, attack).withColumnRenamed("neighbour_information", "mutual_information_score"),
+        forest.importances(model, cols),
     )
 
 
