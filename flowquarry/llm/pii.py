@@ -1,22 +1,28 @@
 """Personal data by weak supervision: labelers vote, their reliabilities are estimated, a span classifier decides.
 
 Base spans of four kinds (email, ip, card, phone) always stay. Wider patterns give more candidates. Every candidate, base
-or not, gets votes for, against or none from four labelers: the strict shape, a gazetteer (domains, issuer numbers,
-calling codes, reserved networks), cue words before it, and variety of its characters. Expectation-maximisation over the
-counts of vote patterns estimates each labeler's reliability per kind and so how likely each pattern is personal data.
-With these as soft labels a logistic classifier over features of the span is fitted, and candidates it accepts are added.
+or not, gets votes for, against or none from four labelers: a gazetteer (domains, issuer numbers, calling and area codes,
+networks), cue words for and against before it, variety of its characters, and form (check sum, like separators, well-formed
+domains and groups). No labeler knows whether a candidate is base. Expectation-maximisation over the counts of vote patterns
+estimates each labeler's reliability per kind from all candidates, and how common personal data is among the base and among
+the wide candidates apart, so the many base spans say nothing for the wide ones. The wide candidates, with the pattern's
+probability as a soft label, train a logistic classifier over features of the span; those it accepts are added. Every
+combination of features also counts as a small part of an example, with the label its votes give it, so a kind whose texts
+hold no counter-example still has a classifier that can say no.
 
 Only DataFrame functions touch the data. The driver gets one count per pattern of votes and features, whose number is
 bounded by their values; the classifier goes back as an expression.
 
 Cases: null and empty texts have no spans; equal rows are scanned alike and each is returned; overlapping spans of
-different kinds are all returned, and redacted as one; a kind without candidates keeps its prior; an empty table gives an
-empty table; other columns keep their values, and only the output columns' own names are replaced.
+different kinds are all returned, and redacted as one; a kind without candidates is judged by the prior reliabilities; an
+empty table gives an empty table; other columns keep their values, and only the output columns' own names are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,14 +46,26 @@ DOMAINS = r"(?i)[.)\]]\x20?(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|a
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 RESERVED = r"^(?:0\.|127\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"
+NETWORKS = r"^(?:[23][0-9A-Fa-f]{3}|[fF][cCdDeE][0-9A-Fa-f]{2}):"
+AREAS = r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]"
+FORMS = {
+    ("email", True): r"[A-Za-z].*\.[A-Za-z]{2,24}$", ("email", False): r"^[^@]*[A-Za-z].*[\x20.)\]][A-Za-z]{2,24}$",
+    ("ip", True): r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", ("ip", False): r"(?:[0-9A-Fa-f]{4}:){2}|:[0-9A-Fa-f]{4}:(?:.*:)?[0-9A-Fa-f]{4}",
+    ("phone", True): r"^\+[1-9][^(]*(?:\([0-9]+\)[^(]*)?$", ("phone", False): r"^(?:\([0-9]{3}\)[\x20.-][0-9]{3}[.-]|[0-9]{3}([.-])[0-9]{3}\1)[0-9]{4}$",
+}
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|courriel|correo)\b", "ip": r"(?i)\b(?:ip|host|server|address|client|adresse)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|credit|payment|carte|tarjeta|karte)\b", "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|cell|telefon|tel[eé]fono)\b",
 }
-AGAINST = r"(?i)\b(?:order|invoice|version|isbn|serial|item|page|section)\b"
+AGAINST = r"(?i)\b(?:order|invoice|version|isbn|serial|item|page|section|ticket|build|release|ref|sku|part|ratio|score)\b"
 CONTEXT = 40
-VOTES = ("v_shape", "v_gazetteer", "v_cue", "v_variety")
-FEATURES = ("f_base", "f_gazetteer", "f_cue", "f_against", "f_varied", "f_separated", "f_long")
+VOTES = ("v_gazetteer", "v_cue", "v_variety", "v_form")
+FEATURES = ("f_gazetteer", "f_cue", "f_against", "f_varied", "f_form", "f_separated", "f_long")
+#: Before any data: how often a labeler votes for, not at all and against what is personal data (and the other way round for
+#: what is not), and counts of personal and other candidates.
+PRIOR_VOTES = {1: 2.0, 0: 1.0, -1: 0.5}
+PRIOR_SHARE = {1: 2.0, 0: 3.0}
+PART = 0.25
 
 
 def _digits(x: Column) -> Column:
@@ -81,15 +99,16 @@ def candidates(text: Column) -> Column:
     def judged(kind: str, base: bool, found: Column) -> Column:
         def one(x: Column) -> Column:
             before = F.lower(F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
-            known = {"email": x["hit"].rlike(DOMAINS), "ip": ~x["hit"].rlike(RESERVED), "card": _digits(x["hit"]).rlike(ISSUERS),
-                     "phone": x["hit"].rlike(CODES) if base else x["hit"].rlike(r"^\(?[2-9]")}[kind]
+            known = {"email": x["hit"].rlike(DOMAINS), "ip": ~x["hit"].rlike(RESERVED) if base else x["hit"].rlike(NETWORKS),
+                     "card": _digits(x["hit"]).rlike(ISSUERS), "phone": x["hit"].rlike(CODES if base else AREAS)}[kind]
+            form = x["hit"].rlike(FORMS[kind, base]) if kind != "card" else F.lit(True) if base else luhn(_digits(x["hit"]))
             varied = F.size(F.array_distinct(F.split(x["hit"], ""))) >= 5
             number = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-            return let(before, lambda b: let(F.struct(known.alias("known"), b.rlike(CUES[kind]).alias("cue"), b.rlike(AGAINST).alias("against"), varied.alias("varied")), lambda y: F.struct(
+            return let(before, lambda b: let(F.struct(known.alias("known"), b.rlike(CUES[kind]).alias("cue"), b.rlike(AGAINST).alias("against"), varied.alias("varied"), form.alias("form")), lambda y: F.struct(
                 F.lit(kind).alias("kind"), F.lit(base).alias("base"), x["start"].alias("start"), x["stop"].alias("stop"),
-                F.lit(1 if base else -1).alias("v_shape"), F.when(y["known"], 1).otherwise(-1).alias("v_gazetteer"),
-                F.when(y["cue"], 1).when(y["against"], -1).otherwise(0).alias("v_cue"), F.when(y["varied"], 0).otherwise(-1).alias("v_variety"),
-                F.lit(int(base)).alias("f_base"), number(y["known"]).alias("f_gazetteer"), number(y["cue"]).alias("f_cue"), number(y["against"]).alias("f_against"), number(y["varied"]).alias("f_varied"),
+                F.when(y["known"], 1).otherwise(-1).alias("v_gazetteer"),
+                F.when(y["cue"], 1).when(y["against"], -1).otherwise(0).alias("v_cue"), F.when(y["varied"], 0).otherwise(-1).alias("v_variety"), F.when(y["form"], 1).otherwise(-1).alias("v_form"),
+                number(y["known"]).alias("f_gazetteer"), number(y["cue"]).alias("f_cue"), number(y["against"]).alias("f_against"), number(y["varied"]).alias("f_varied"), number(y["form"]).alias("f_form"),
                 number(x["hit"].rlike(r"[\x20()-]")).alias("f_separated"), number(x["stop"] - x["start"] >= 16).alias("f_long"))))
         return F.transform(found, one)
 
@@ -107,27 +126,32 @@ def candidates(text: Column) -> Column:
     return let(base_spans(text), every)
 
 
-def estimate(counts: dict[tuple, int], rounds: int = 60) -> dict[tuple, float]:
-    """By pattern of votes: how likely it is true, with reliabilities of the labelers by expectation-maximisation."""
+def estimate(counts: dict[tuple, float], rounds: int = 60, votes: Callable[[tuple], tuple] = lambda p: p, group: Callable[[tuple], object] = lambda p: None) -> dict[tuple, float]:
+    """By pattern: how likely it is true, with reliabilities of the labelers by expectation-maximisation.
+
+    ``votes`` gives a pattern's votes, ``group`` what it shares its prior with. A labeler that does not vote has no say on a pattern, and a pattern counted 0 gets a belief
+    but has none on the labelers.
+    """
     if not counts:
         return {}
-    width = len(next(iter(counts)))
-    belief = {p: min(0.95, max(0.05, 0.5 + sum(p) / (2 * width))) for p in counts}
+    width = len(votes(next(iter(counts))))
+    belief = {p: min(0.95, max(0.05, 0.5 + sum(votes(p)) / (2 * width))) for p in counts}
     for _ in range(rounds):
-        total = {y: 1.0 for y in (0, 1)}
-        seen = {(y, j, v): 0.5 for y in (0, 1) for j in range(width) for v in (-1, 0, 1)}
+        total = {(group(p), y): PRIOR_SHARE[y] for p in counts for y in (0, 1)}
+        seen = {(y, j, v): PRIOR_VOTES[v if y else -v] for y in (0, 1) for j in range(width) for v in (-1, 0, 1)}
         for p, n in counts.items():
             for y, share in ((1, belief[p]), (0, 1 - belief[p])):
-                total[y] += n * share
-                for j, v in enumerate(p):
+                total[group(p), y] += n * share
+                for j, v in enumerate(votes(p)):
                     seen[y, j, v] += n * share
+        every = {(y, j): sum(seen[y, j, v] for v in (-1, 0, 1)) for y in (0, 1) for j in range(width)}
         for p in counts:
-            score = {y: math.log(total[y]) + sum(math.log(seen[y, j, v] / (total[y] + 0.5)) for j, v in enumerate(p)) for y in (0, 1)}
+            score = {y: math.log(total[group(p), y]) + sum(math.log(seen[y, j, v] / every[y, j]) for j, v in enumerate(votes(p)) if v) for y in (0, 1)}
             belief[p] = 1 / (1 + math.exp(max(-50.0, min(50.0, score[0] - score[1]))))
     return belief
 
 
-def train(rows: list[tuple[tuple, float, int]], rounds: int = 400, rate: float = 1.0) -> list[float]:
+def train(rows: list[tuple[tuple, float, float]], rounds: int = 400, rate: float = 1.0) -> list[float]:
     """Logistic weights (the first for the constant) from (features, soft label, count)."""
     weights = [0.0] * (1 + len(FEATURES))
     every = sum(n for _, _, n in rows) or 1
@@ -143,18 +167,28 @@ def train(rows: list[tuple[tuple, float, int]], rounds: int = 400, rate: float =
     return weights
 
 
+def _combinations() -> list[tuple[tuple, tuple]]:
+    """Votes and features of every kind of candidate there can be."""
+    out = []
+    for known, cue, varied, form, separated, long_ in itertools.product((0, 1), (-1, 0, 1), (0, 1), (0, 1), (0, 1), (0, 1)):
+        votes = (2 * known - 1, cue, varied - 1, 2 * form - 1)
+        out.append((votes, (known, int(cue == 1), int(cue == -1), varied, form, separated, long_)))
+    return out
+
+
 def fit(docs: DataFrame) -> dict[str, list[float]]:
     """Classifier weights per kind, from the counts of vote and feature patterns over all candidates of all texts."""
-    names = ["kind", *VOTES, *FEATURES]
+    names = ["kind", "base", *VOTES, *FEATURES]
     rows = docs.select(F.explode(candidates(F.col("text"))).alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names]).count().collect()
     model = {}
     for kind in KINDS:
-        own = sorted(((tuple(r[v] for v in VOTES), tuple(r[f] for f in FEATURES), r["count"]) for r in rows if r["kind"] == kind))
-        counts: dict[tuple, int] = {}
-        for votes, _, n in own:
-            counts[votes] = counts.get(votes, 0) + n
-        belief = estimate(counts)
-        model[kind] = train([(features, belief[votes], n) for votes, features, n in own])
+        own = sorted((bool(r["base"]), tuple(r[v] for v in VOTES), tuple(r[f] for f in FEATURES), r["count"]) for r in rows if r["kind"] == kind)
+        counts: dict[tuple, float] = {(False, votes): 0 for votes, _ in _combinations()}
+        for base, votes, _, n in own:
+            counts[base, votes] = counts.get((base, votes), 0) + n
+        belief = estimate(counts, votes=lambda p: p[1], group=lambda p: p[0])
+        parts = [(features, belief[False, votes], PART) for votes, features in _combinations()]
+        model[kind] = train(parts + [(features, belief[False, votes], n) for base, votes, features, n in own if not base])
     return model
 
 
