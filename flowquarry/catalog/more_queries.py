@@ -228,3 +228,15 @@ FROM counted GROUP BY f"""))
 def _(spark, d):
     rows = V.with_traffic_label(imputed(spark, d))
     return round_to(neighbour_information(rows, L, C.is_attack(F.col("Label"))), 6, "neighbour_information")
+
+
+_LISTS = [("true", "Total_Packets"), ("true", "Total_Bytes"), ("true", "Packets_Per_Second"), ("Protocol = 'TCP'", "SYN_Count"), ("Protocol = 'ARP'", "0"),
+          ("Protocol = 'DNS'", "0"), ("Protocol = 'MDNS'", "0"), ("Protocol IN ('UDP', 'QUIC')", "0"), ("Protocol = 'SSLV2'", "0")]
+
+
+@query("u02_representative_order", S.with_(ANOMALIES + ",\nlists AS (" + "\nUNION ALL ".join(
+    f"(SELECT FlowID, {i} AS priority, row_number() OVER (ORDER BY {metric} DESC, FlowID) AS place FROM inv WHERE {condition} QUALIFY place <= 20)"
+    for i, (condition, metric) in enumerate(_LISTS)) + ")", """
+SELECT FlowID, priority, place::INT AS place FROM lists QUALIFY row_number() OVER (PARTITION BY FlowID ORDER BY priority, place) = 1"""))
+def _(spark, d):
+    return SEL.representative_flows(investigated(spark, d)).select("FlowID", "priority", "place")

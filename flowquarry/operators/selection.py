@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowquarry import fixed
 
@@ -68,29 +68,55 @@ def top_flows(flows: DataFrame, metric: str, n: int = 5) -> DataFrame:
     return flows.select(*cols).orderBy(F.desc(metric), F.asc("FlowID")).limit(n)
 
 
-def representative_flows(flows: DataFrame, category: str = "all", n: int = 20) -> DataFrame:
-    """At most n flows by one criterion, or the distinct union of all of them."""
-    def largest(rows: DataFrame, metric: str) -> DataFrame:
-        return rows.orderBy(F.desc(metric), F.asc("FlowID")).limit(n)
-
-    def first_of(*protocols: str) -> DataFrame:
-        return flows.filter(F.col("Protocol").isin(*protocols)).orderBy("FlowID").limit(n)
-
-    picks = {
-        "packet_count": lambda: largest(flows, "Total_Packets"),
-        "byte_count": lambda: largest(flows, "Total_Bytes"),
-        "packet_rate": lambda: largest(flows, "Packets_Per_Second"),
-        "syn_heavy": lambda: largest(flows.filter(F.col("Protocol") == "TCP"), "SYN_Count"),
-        "arp": lambda: first_of("ARP"), "dns": lambda: first_of("DNS"), "mdns": lambda: first_of("MDNS"),
-        "udp_quic": lambda: first_of("UDP", "QUIC"), "sslv2": lambda: first_of("SSLV2"),
+def _criteria() -> dict[str, tuple[Column, str | None]]:
+    """Condition and metric of each criterion; without a metric the first flows by id are taken."""
+    def protocol(*names: str) -> Column:
+        return F.col("Protocol").isin(*names)
+
+    return {
+        "packet_count": (F.lit(True), "Total_Packets"), "byte_count": (F.lit(True), "Total_Bytes"),
+        "packet_rate": (F.lit(True), "Packets_Per_Second"), "syn_heavy": (protocol("TCP"), "SYN_Count"),
+        "arp": (protocol("ARP"), None), "dns": (protocol("DNS"), None), "mdns": (protocol("MDNS"), None),
+        "udp_quic": (protocol("UDP", "QUIC"), None), "sslv2": (protocol("SSLV2"), None),
     }
+
+
+def top_lists(flows: DataFrame, n: int = 20) -> DataFrame:
+    """At most n flows for every criterion, in one scan: ``flows`` with ``criterion``, ``priority`` (its place, from 0) and ``place`` (from 1).
+
+    A flow is copied once for each criterion it meets; the filter on the row number limits every criterion to n rows in each
+    partition before the shuffle, so a task of the window gets n rows a partition, whatever the criterion's share. Ties go to
+    the smaller FlowID, flows without the metric come last, metrics are compared as doubles, an empty table has no lists. Other columns of these three names
+    are replaced.
+    """
+    flows = flows.drop("criterion", "priority", "place")
+    picks = _criteria()
+    entries = F.array_compact(F.array(*[
+        F.when(condition, F.struct(F.lit(i).alias("i"), (F.col(metric).cast("double") if metric else F.lit(0.0)).alias("score")))
+        for i, (condition, metric) in enumerate(picks[c] for c in fixed.REPRESENTATIVE_CATEGORIES)
+    ]))
+    spread = flows.select("*", F.explode(entries).alias("_e")).select(*flows.columns, F.col("_e.i").alias("priority"), F.col("_e.score").alias("_score"))
+    order = Window.partitionBy("priority").orderBy(F.desc("_score"), F.asc("FlowID"))
+    names = F.array(*map(F.lit, fixed.REPRESENTATIVE_CATEGORIES))
+    return spread.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).withColumn("criterion", F.get(names, F.col("priority"))).drop("_score")
+
+
+def representative_flows(flows: DataFrame, category: str = "all", n: int = 20) -> DataFrame:
+    """At most n flows by one criterion, or the distinct union of all of them.
+
+    The union keeps a flow under the first criterion that takes it and comes in the order of criteria and of places, both
+    given as ``priority`` and ``place``.
+    """
     category = category.lower()
     if category == "all":
-        # Each part has at most n rows, so the distinct below works on 9 n rows.
-        parts = [picks[c]() for c in fixed.REPRESENTATIVE_CATEGORIES]
-        return union_tables(*parts).dropDuplicates(["FlowID"])
-    if category in picks:
-        return picks[category]()
+        # At most n rows a criterion from here on.
+        first = Window.partitionBy("FlowID").orderBy("priority", "place")
+        lists = top_lists(flows, n).withColumn("_first", F.row_number().over(first)).filter("_first = 1")
+        return lists.drop("_first", "criterion").orderBy("priority", "place")
+    if category in _criteria():
+        condition, metric = _criteria()[category]
+        order = [F.desc(metric)] if metric else []
+        return flows.filter(condition).orderBy(*order, F.asc("FlowID")).limit(n)
     return flows.orderBy("FlowID").limit(n)
 
 
