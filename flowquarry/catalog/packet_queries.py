@@ -203,6 +203,20 @@ def _(spark, d):
     return cleaning.cleaning_report(raw_named(spark, d))
 
 
+@query("c11_counted_write", S.with_(CLEAN, """
+SELECT (SELECT count(*) FROM raw_rows) AS initial_row_count, (SELECT count(*) FROM raw_rows) - count(*) AS duplicate_rows_removed,
+       count(*) FILTER (WHERE t IS NULL) AS malformed_rows_removed, count(*) FILTER (WHERE t IS NOT NULL AND l IS NULL) AS impossible_values_removed,
+       count(*) FILTER (WHERE t IS NOT NULL AND l IS NOT NULL AND Interface IS NULL) AS missing_values_handled,
+       count(*) FILTER (WHERE t IS NOT NULL AND l IS NOT NULL) AS final_row_count,
+       (SELECT count(*) FROM cleaned) AS rows_written, (SELECT sum(Length)::BIGINT FROM cleaned) AS bytes_written
+FROM typed"""))
+def _(spark, d):
+    path = scratch_path(spark, "cleaned")
+    report = cleaning.clean_to_table(raw_named(spark, d), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_written"), F.sum("Length").alias("bytes_written")).first()
+    return report.withColumns({name: F.lit(written[name]).cast("bigint") for name in ("rows_written", "bytes_written")})
+
+
 @query("c12_lenient_cast", S.with_(CLEAN, """
 SELECT "No." AS Frame_Number, CASE WHEN try_cast(Time AS DOUBLE) >= 0 THEN CAST(try_cast(Time AS DECIMAL(28,9)) * 1000000000 AS BIGINT) ELSE 0 END AS Time_ns,
        CAST(coalesce(try_cast(Length AS DOUBLE), 0) AS INT) AS Length, coalesce(Protocol, 'UNKNOWN') AS Protocol

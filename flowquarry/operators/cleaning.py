@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import NumericType
 
 from flowquarry import fixed
@@ -131,23 +131,45 @@ def clean_packets_lenient(raw: DataFrame) -> DataFrame:
     })
 
 
-def cleaning_report(raw: DataFrame) -> DataFrame:
-    """One row of counters. Copies are folded before the shuffle, so a huge group of copies is cheap."""
-    names = raw.columns
-    folded = raw.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
-    judged = _judged(folded)
+def _folded(raw: DataFrame) -> DataFrame:
+    """Distinct rows with their number of copies, judged. Copies are folded before the shuffle, so a huge group of copies is cheap."""
+    return _judged(raw.groupBy(*[F.col(f"`{c}`") for c in raw.columns]).agg(F.count(F.lit(1)).alias("_copies")))
+
+
+def _counters(names: list[str]) -> list[Column]:
     filled = set(fixed.PACKET_COLUMNS) - {"Frame_Number"}
     other = [c for c in names if c not in filled]
     gaps = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("bigint") for c in other], F.lit(0))
     kept = F.col("reject_reason") == "kept"
-    return judged.agg(
+    return [
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("initial_row_count"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows_removed"),
         F.count(F.when(F.col("reject_reason") == "malformed_time", 1)).alias("malformed_rows_removed"),
         F.count(F.when(F.col("reject_reason") == "impossible_length", 1)).alias("impossible_values_removed"),
         F.coalesce(F.sum(F.when(kept, gaps)), F.lit(0)).alias("missing_values_handled"),
         F.count(F.when(kept, 1)).alias("final_row_count"),
-    )
+    ]
+
+
+def cleaning_report(raw: DataFrame) -> DataFrame:
+    """One row of counters."""
+    return _folded(raw).agg(*_counters(raw.columns))
+
+
+def clean_to_table(raw: DataFrame, path: str) -> DataFrame:
+    """Writes the strictly cleaned packets to ``path`` (Parquet, which must not exist) and returns the cleaning report of that write.
+
+    The counters are observed while the rows are written, so the input is read once. They are made in the tasks that write,
+    after the only shuffle, and Spark counts each of these once when it succeeds, so lost executors do not count twice. An
+    empty table gives an empty Parquet table and a report of zeros.
+    """
+    require_columns(raw, fixed.REQUIRED_COLUMNS, "packet table")
+    seen, counters = Observation(), _counters(raw.columns)
+    judged = _folded(raw).observe(seen, *counters)
+    _normalised(judged.filter(F.col("reject_reason") == "kept")).drop("_copies").write.parquet(path)
+    names = ["initial_row_count", "duplicate_rows_removed", "malformed_rows_removed", "impossible_values_removed", "missing_values_handled", "final_row_count"]
+    found = seen.get
+    return raw.sparkSession.createDataFrame([tuple(int(found.get(n) or 0) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 # --- labelled flow tables --------------------------------------------------------------

@@ -85,6 +85,21 @@ def test_cleaner(spark):
     assert cleaning.clean_packets_lenient(raw).count() == 5
 
 
+def test_counters_of_a_write_are_those_of_the_report(spark, folder):
+    schema = "Frame_Number string, Time string, Source string, Destination string, Protocol string, Length string, Info string, Extra string"
+    rows = [(str(i % 90), ["0.5", "bad", "-1", "7.25", None][i % 5], "a", None, " tcp ", ["64", "-50", "x", "70000", "1500", None][i % 6], None, None if i % 4 else "e") for i in range(400)]
+    rows += [("1", "0.5", "a", "b", "TCP", "64", "i", None)] * 300  # a large group of copies
+    raw = spark.createDataFrame(rows, schema).repartition(6)
+    report = cleaning.clean_to_table(raw, f"{folder}/cleaned")
+    assert report.first() == cleaning.cleaning_report(raw).first() and report.columns == cleaning.cleaning_report(raw).columns
+    written = spark.read.parquet(f"{folder}/cleaned")
+    want = cleaning.clean_packets(raw)
+    assert written.columns == want.columns and written.exceptAll(want).count() == want.exceptAll(written).count() == 0
+    assert 0 < report.first().final_row_count == written.count() < 400 and report.first().duplicate_rows_removed >= 299
+    empty = cleaning.clean_to_table(raw.limit(0), f"{folder}/empty")
+    assert set(empty.first()) == {0} and spark.read.parquet(f"{folder}/empty").count() == 0
+
+
 def test_times_keep_nanoseconds_and_reject_nan(spark):
     rows = spark.createDataFrame([("12.000000001",), ("nan",), ("inf",), ("1e-3",), (" 7 ",)], "t string")
     assert [r[0] for r in rows.select(C.time_ns(F.col("t"))).collect()] == [12_000_000_001, None, None, 1_000_000, 7_000_000_000]
