@@ -74,6 +74,26 @@ def test_forest_round_trip(spark, cloud, folder):
     assert forest.importances(model, COLS).orderBy(F.desc("importance")).first().feature == "a"
 
 
+def test_forest_trains_on_cells_not_rows(spark, monkeypatch):
+    rows = spark.range(6000).selectExpr("CAST(id % 40 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "id * 0.37 AS c", "0.0D AS d", "CAST(id % 40 < 13 AS DOUBLE) AS label")
+    seen = []
+    fit = forest.RandomForestClassifier.fit
+
+    def counted(self, data):
+        seen.append((data.count(), data.agg(F.sum("weight")).first()[0]))
+        return fit(self, data)
+
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", counted)
+    monkeypatch.setattr(forest, "BAG_INSTANCES", 50)
+    model = forest.train_forest(rows, ["a", "b", "d"], trees=10, depth=6)
+    assert seen[0][0] <= 120 + 50 and seen[0][1] == pytest.approx(6000)
+    scored = forest.score(model, rows, ["a", "b", "d"])
+    assert scored.filter("Prediction_Label <> label").count() == 0 and not [c for c in scored.columns if c.startswith("_")]
+    monkeypatch.setattr(forest, "BAG_INSTANCES", 10_000)
+    forest.train_forest(rows, ["a", "c"], trees=2, depth=3, balanced=False, scale=False)
+    assert seen[1] == (6000, 6000)
+
+
 def test_axes_are_centred_and_signed(cloud):
     _, df = cloud
     axes, explained = forest.principal_axes(df, COLS)
