@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from flowquarry.catalog import packet_queries
 from flowquarry.functions import columns as C
 from flowquarry.operators import cleaning, ordered, packets as P
 from flowquarry.sources import readers, writers
@@ -146,3 +147,16 @@ def test_sinks_round_trip(spark, folder):
     assert spark.read.options(header=True).csv(path).first().tags == "x, y"
     writers.write_summary(spark, {"n": 1, "t": df.selectExpr("count(*) AS rows")}, os.path.join(folder, "sum"))
     assert '"rows": 1' in spark.read.text(os.path.join(folder, "sum")).first()[0]
+
+
+def test_labelled_files_hold_mixed_labels_of_even_size(spark, folder):
+    rows = spark.range(4000).selectExpr("id AS l_orderkey", "CAST(1 AS INT) AS l_linenumber", "2.0D AS l_quantity", "4.0D AS l_extendedprice", "0.1D AS l_discount",
+                                        "0.2D AS l_tax", "'N' AS l_returnflag")
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = packet_queries._labelled_csv(spark, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.text(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4000 + len(sizes) and len(sizes) == 4 and max(sizes) < 1500
