@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowquarry.llm.forest import Forest
@@ -178,6 +179,15 @@ def jaccard_estimates(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n
     return grid[np.arange(len(grid)), score.argmax(axis=1)]
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about a megabyte of text or a single longer one, so that one run's texts and sets are held at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    number = (np.cumsum(sizes) - sizes) // CHUNK_BYTES
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, registers binary"
 
 
@@ -185,10 +195,8 @@ def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """Per row: size and 128-bit digest of its set, registers. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             sets = shingle_sets(batch["text"].to_pylist())
-            if not sets:
-                continue
             registers = registers_of(np.array([set_minima(x, bands * ROWS) for x in sets]))
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *_digests(sets),
@@ -227,7 +235,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the digest of its set and the whole set as sorted 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             sets = shingle_sets(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *_digests(sets), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
 

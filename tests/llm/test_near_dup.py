@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from cases import DOCS, documents, no_documents
 
 from flowquarry.llm import near_dup
@@ -113,3 +114,14 @@ def test_pipeline_keeps_rows_with_columns_that_have_no_order(spark):
     got = corpus_pipeline.near_dup_stage(spark, docs, "")
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
     assert corpus_pipeline.near_dup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_texts_of_a_batch_are_taken_in_bounded_pieces(spark):
+    texts = ["a b c d e f " * 10_000, None, "", "x y", *["u v w x y z " * 2_000] * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    runs = [x["text"].to_pylist() for x in near_dup.pieces(batch)]
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run[:-1]) <= near_dup.CHUNK_BYTES for run in runs) and len(runs) > 2
+    assert not list(near_dup.pieces(batch.slice(0, 0)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    assert [r.n_shingles for r in near_dup.sketches(docs).collect()] == [len(shingles(t)) for t in texts]
