@@ -74,6 +74,15 @@ def test_forest_round_trip(spark, cloud, folder):
     assert forest.importances(model, COLS).orderBy(F.desc("importance")).first().feature == "a"
 
 
+def test_bins_keep_a_frequent_value_apart(spark):
+    """Three quarters are zero, the rest spread on both sides: zero is a bin of its own and the others share what is left."""
+    rows = spark.range(40_000).selectExpr("CASE WHEN id % 4 > 0 THEN 0.0D ELSE (id - 8000) / 100.0D END AS x", "CAST(id % 60 AS DOUBLE) AS few", "1.0D AS one")
+    x, few, one = forest.bin_edges(rows, ["x", "few", "one"])
+    below, above = max(e for e in x if e < 0), min(e for e in x if e > 0)
+    assert below > -2 and above < 6 and 20 <= len(x) <= 63
+    assert few == [i + 0.5 for i in range(59)] and one == []
+
+
 def test_forest_trains_on_cells_not_rows(spark, monkeypatch):
     rows = spark.range(6000).selectExpr("CAST(id % 40 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "id * 0.37 AS c", "0.0D AS d", "CAST(id % 40 < 13 AS DOUBLE) AS label")
     seen = []
