@@ -7,14 +7,15 @@
 * Neighbours in other micro-cells are found by an equi-join on a grid of width eps over the
   leading principal axes. A projection never lengthens a distance, so the adjacent grid cells
   hold every true neighbour. Axes are added until no grid cell holds more than ``cell_limit``
-  points (or ``max_axes`` is reached); the exact distance decides in the end.
+  points (or ``max_axes`` is reached). Pairs of adjacent occupied cells are found axis by axis,
+  so a point is copied once for each occupied cell beside it, not for each possible one. Pairs
+  that are apart on the axes already are dropped; the exact distance decides in the end.
 * Clusters are connected components by minimum-label propagation with pointer jumping; each
   round is checkpointed.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.ml.feature import PCA
@@ -25,6 +26,10 @@ from flowquarry.operators.ordered import numbered
 from flowquarry.session import cut_lineage
 
 
+#: Points of a grid cell that are compared at once, and pairs of points for a task.
+CHUNK_POINTS, TASK_PAIRS, MOST_TASKS = 256, 2_000_000, 10_000
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id of each component. ``edges`` has (a, b).
 
@@ -54,6 +59,22 @@ def _apart(left: str, right: str) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, term: total + term)
 
 
+def adjacent_cells(cells: DataFrame, axes: int) -> DataFrame:
+    """Pairs (``_g``, ``cell``) of occupied grid cells that differ by at most one step on each axis, every unordered pair once."""
+    steps = F.explode(F.array(*[F.lit(v).cast("bigint") for v in (-1, 0, 1)]))
+    pairs = None
+    for k in range(1, axes + 1):
+        found = cells.select(F.slice("_g", 1, k).alias("_g")).distinct()
+        if pairs is None:
+            ways = found.withColumn("_before", F.slice("_g", 1, 0))
+        else:
+            parts = found.withColumn("_parent", F.slice("_g", 1, k - 1))
+            ways = parts.join(pairs.withColumnsRenamed({"_g": "_parent", "cell": "_before"}), "_parent").drop("_parent")
+        ways = ways.withColumn("_step", steps).select("_g", F.concat("_before", F.array(F.element_at("_g", k) + F.col("_step"))).alias("cell"))
+        pairs = cut_lineage(ways.filter(F.col("_g") <= F.col("cell")).join(found.withColumnRenamed("_g", "cell"), "cell", "left_semi"))
+    return pairs
+
+
 def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.8, min_points: int = 5, name: str = "DBSCAN_Cluster",
            max_axes: int = 6, cell_limit: int = 2_000) -> DataFrame:
     """Cluster number per row, -1 for noise. Border points go to their lowest-numbered cluster.
@@ -71,7 +92,7 @@ def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.8, min_point
     side = eps / math.sqrt(d) * (1.0 - 1e-9)
     placed = cut_lineage(projected.select(
         "id", "w", "_x", F.transform("_x", lambda c: F.floor(c / side)).alias("micro"),
-        F.transform(vector_to_array("_p"), lambda c: F.floor(c / eps)).alias("_g"),
+        vector_to_array("_p").alias("_p"), F.transform(vector_to_array("_p"), lambda c: F.floor(c / eps)).alias("_g"),
     ))
 
     # Axes are added while some grid cell is crowded; one count per step.
@@ -85,16 +106,27 @@ def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.8, min_point
     micro_weight = placed.groupBy("micro").agg(F.sum("w").alias("_mw"))
     members = cut_lineage(placed.join(micro_weight, "micro").withColumn("_g", F.slice("_g", 1, axes)))
 
-    # Every unordered pair once: the left side visits the half of the neighbour offsets.
-    offsets = [o for o in itertools.product((-1, 0, 1), repeat=axes) if o >= (0,) * axes]
-    move = F.explode(F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets]))
-    left = members.withColumn("_o", move).select(
-        F.col("id").alias("a"), F.col("micro").alias("micro_a"), F.col("w").alias("wa"), F.col("_x").alias("xa"),
-        F.zip_with("_g", "_o", lambda g, o: g + o).alias("cell"), F.forall("_o", lambda o: o == 0).alias("same_cell"),
-    )
-    right = members.select(F.col("id").alias("b"), F.col("micro").alias("micro_b"), F.col("w").alias("wb"), F.col("_x").alias("xb"), F.col("_g").alias("cell"))
-    near = cut_lineage(left.join(right, "cell").filter(
-        (F.col("micro_a") != F.col("micro_b")) & (~F.col("same_cell") | (F.col("a") < F.col("b"))) & (_apart("xa", "xb") <= eps * eps)
+    near_axes = range(min(max_axes, d))
+    # A crowded cell is compared in chunks, and the tasks are as many as the pairs of points need, however few bytes they are.
+    sizes = members.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    cell_pairs = adjacent_cells(members.select("_g"), axes).join(sizes.withColumnRenamed("n", "_here"), "_g").join(
+        sizes.select(F.col("_g").alias("cell"), "n"), "cell").withColumn("_chunks", F.ceil(F.col("n") / CHUNK_POINTS).cast("int"))
+    cell_pairs = cut_lineage(cell_pairs)
+    compared = cell_pairs.agg(F.sum(F.col("_here").cast("double") * F.col("n"))).first()[0] or 0.0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, math.ceil(compared / TASK_PAIRS)))
+    left = members.join(cell_pairs, "_g").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select(
+        F.col("id").alias("a"), F.col("micro").alias("micro_a"), F.col("w").alias("wa"), F.col("_x").alias("xa"), F.col("_p").alias("pa"),
+        "cell", "_chunk", (F.col("_g") == F.col("cell")).alias("same_cell"),
+    ).repartition(tasks, "cell", "_chunk")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK_POINTS)).cast("int")
+    right = members.join(sizes, "_g").select(
+        F.col("id").alias("b"), F.col("micro").alias("micro_b"), F.col("w").alias("wb"), F.col("_x").alias("xb"), F.col("_p").alias("pb"),
+        F.col("_g").alias("cell"), chunk.alias("_chunk")).repartition(tasks, "cell", "_chunk")
+    # The distance on the axes, compiled; a little more than eps, because projections are rounded.
+    shadow = sum(((F.get("pa", i) - F.get("pb", i)) * (F.get("pa", i) - F.get("pb", i)) for i in near_axes), F.lit(0.0))
+    candidate = (F.col("micro_a") != F.col("micro_b")) & (~F.col("same_cell") | (F.col("a") < F.col("b")))
+    near = cut_lineage(left.join(right, ["cell", "_chunk"]).filter(
+        F.when(candidate & (shadow <= eps * eps * (1 + 1e-6)), _apart("xa", "xb") <= eps * eps)
     ).select("a", "b", "wa", "wb"))
 
     outside = near.select(F.col("a").alias("id"), F.col("wb").alias("n")).unionByName(near.select(F.col("b").alias("id"), F.col("wa").alias("n")))
