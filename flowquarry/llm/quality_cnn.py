@@ -6,7 +6,8 @@ its length, go through one hidden layer to one probability. For scoring, embeddi
 the filter, so a response is a sum of table rows.
 
 The network is fitted on a bounded sample: at most ``fit_rows`` labelled documents (half of each label if there are as
-many), chosen by a hash of their id, weighted back to the labels' shares. Every document is scored, over its whole text.
+many), chosen by a hash of their id, weighted back to the labels' shares. Every document is scored, over its whole text; a task
+holds the responses of about a megabyte of text, or of a single longer text, at a time.
 
 Cases: null and empty texts are scored as a few zero bytes; repeated labels of a document count as their least; labels
 other than 0 and 1 are not used; a null doc_id is not held out and not learned from; without usable labels of both kinds
@@ -23,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowquarry.llm.near_dup import pieces
+
 WIDTH, DEPTH, FILTERS, HIDDEN, BLOCK = 6, 8, 32, 16, 128
 FIT_ROWS = 1_600
 EPOCHS, BATCH, RATE = 14, 32, 0.01
@@ -236,6 +239,16 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return [(r["text"] or "").encode() for r in rows], truth, weights
 
 
+def scored_runs(batches: Iterator[pa.RecordBatch], net: Network | None, share: float, added: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with score and prediction added, in runs of about a megabyte of text; every score is ``share`` without a network."""
+    tables = net.tables() if net else None
+    for batch in (piece for whole in batches for piece in pieces(whole)):
+        data = [(t or "").encode() for t in batch["text"].to_pylist()]
+        score = score_texts(net, tables, data) if net else np.full(len(data), share)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())],
+                                         [*batch.schema.names, *added])
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prefix: str = "quality") -> DataFrame:
     """``docs`` with columns <prefix>_score and <prefix>_predicted added at the end (columns of those names are replaced)."""
     added = [f"{prefix}_score", f"{prefix}_predicted"]
@@ -246,12 +259,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     source = docs.select(*kept)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in source.schema)}, {added[0]} double, {added[1]} int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = net.tables() if net else None
-        for batch in batches:
-            data = [(t or "").encode() for t in batch["text"].to_pylist()]
-            score = score_texts(net, tables, data) if net and data else np.full(len(data), share)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())],
-                                             [*batch.schema.names, *added])
-
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: scored_runs(batches, net, share, added), schema)

@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, no_documents
 from pyspark.sql import functions as F
@@ -95,6 +96,17 @@ def test_scores_do_not_depend_on_batches():
     assert np.allclose(together, [quality_cnn.score_texts(net, net.tables(), [t])[0] for t in texts])
 
 
+def test_scoring_holds_a_bounded_run_of_texts(monkeypatch):
+    texts = [f"{i} words and more " * 4_000 for i in range(60)] + [None, "", "one long text " * 200_000, "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    net, whole, runs = quality_cnn.Network.start(1), quality_cnn.score_texts, []
+    monkeypatch.setattr(quality_cnn, "score_texts", lambda net, tables, data: runs.append(data) or whole(net, tables, data))
+    out = pa.Table.from_batches(quality_cnn.scored_runs(iter([batch, batch.slice(0, 0)]), net, 0.5, ["score", "predicted"]))
+    assert [t for run in runs for t in run] == [(t or "").encode() for t in texts] and len(runs) > 3
+    assert all(len(run) == 1 or sum(map(len, run[:-1])) <= 1 << 20 for run in runs)
+    assert out["text"].to_pylist() == texts and np.allclose(out["score"], whole(net, net.tables(), [t for run in runs for t in run]))
+
+
 def test_quality_cases(spark):
     docs, labels = documents(spark), spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(0, 1, 0), (None, 1, 0), (5, None, 0), (6, 7, 0)], "doc_id bigint, quality int, toxic int")
     out = quality_cnn.score_quality(docs, labels, fit_rows=20)
