@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowquarry.functions import columns as C
-from flowquarry.operators.ordered import BLOCK_ROWS, numbered, running_totals
+from flowquarry.operators.ordered import numbered, running_totals
 from flowquarry.session import store_scratch
 
+# A block is one task's share of the sorted cells: small enough that a few hundred thousand cells already keep many tasks busy.
+BLOCK_ROWS = 50_000
 _BEFORE, _POINT, _AFTER = 0, 1, 2
 
 
@@ -67,19 +69,20 @@ def _radii(cells: DataFrame, k: int, block_rows: int) -> DataFrame:
     near = F.array_compact(F.array(F.col("_home"), F.when(place < k, F.col("_home") - 1), F.when(place >= block_rows - k, F.col("_home") + 1)))
     spread = rows.withColumn("_block", F.explode(near))
     order = Window.partitionBy("_block", "f", "_y").orderBy("v")
-    beside = F.array_compact(F.array(*[
-        F.when(step("v", i).over(order).isNotNull(), F.struct(F.abs(step("v", i).over(order) - F.col("v")).alias("d"), step("n", i).over(order).alias("n")))
-        for step in (F.lag, F.lead) for i in range(1, k + 1)
-    ]))
-    found = spread.withColumn("_beside", beside).filter(F.col("_home") == F.col("_block"))
-    # Cells beside stand for as many points as they hold, the cell itself for one less.
-    distances = F.array_sort(F.concat(
-        F.array_repeat(F.lit(0.0), F.least(F.col("n") - 1, F.lit(k)).cast("int")),
-        F.flatten(F.transform("_beside", lambda e: F.array_repeat(e.d, F.least(e.n, F.lit(k)).cast("int")))),
-    ))
-    found = found.withColumn("_d", distances).withColumn("r", F.element_at("_d", F.least(F.size("_d"), F.lit(k))))
-    closer = F.size(F.filter("_d", lambda d: d < F.col("r"))).cast("bigint")
-    return found.select("f", "_y", "v", "n", "c", "r", F.when(F.col("r") == 0, F.col("n")).otherwise(closer + 1).alias("s"))
+    # The k nearest cells of the class are among k on either side; a cell stands for as many points as it holds, itself for one less.
+    steps = [(step, i) for step in (F.lag, F.lead) for i in range(1, k + 1)]
+    found = spread.withColumns({f"_d{j}": F.abs(step("v", i).over(order) - F.col("v")) for j, (step, i) in enumerate(steps)} | {
+        f"_n{j}": step("n", i).over(order) for j, (step, i) in enumerate(steps)}).filter(F.col("_home") == F.col("_block"))
+    away, own = [F.col(f"_d{j}") for j in range(len(steps))], F.col("n") - 1
+
+    def points(test) -> Column:
+        """Points of the class beside the point itself whose distance passes."""
+        return sum((F.when(test(d), F.col(f"_n{j}")).otherwise(0) for j, d in enumerate(away)), own)
+
+    kth = F.coalesce(F.least(*[F.when(points(lambda d, at=at: d <= at) >= k, at) for at in away]), F.greatest(*away), F.lit(0.0))
+    found = found.withColumn("r", F.when(own >= k, 0.0).otherwise(kth))
+    closer = points(lambda d: d < F.col("r")) + 1
+    return found.select("f", "_y", "v", "n", "c", "r", F.when(F.col("r") == 0, F.col("n")).otherwise(closer).alias("s"))
 
 
 def _counts_in_balls(cells: DataFrame, balls: DataFrame, block_rows: int) -> DataFrame:

@@ -1,11 +1,14 @@
 """Nearest-neighbour mutual information against brute force over all pairs."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowquarry.operators import neighbours
 from flowquarry.operators.neighbours import digamma, neighbour_information
 
 GAMMA = 0.5772156649015329
@@ -61,3 +64,21 @@ def test_information_equals_brute_force(spark, block_rows):
 def test_information_of_an_empty_table_is_zero(spark):
     empty = spark.createDataFrame([], "y string, x double")
     assert [tuple(r) for r in neighbour_information(empty, ["x"], F.col("y")).collect()] == [("x", 0.0)]
+
+
+def test_radii_against_all_distances_without_arrays(spark):
+    rng = random.Random(5)
+    counts = Counter((f, y, float(rng.choice([rng.randint(-4, 4), rng.randint(0, 60) / 8]))) for f in ("a", "b") for y in (0, 1, 2) for _ in range((2, 5, 70)[y]))
+    sizes = Counter()
+    for (f, y, _), n in counts.items():
+        sizes[f, y] += n
+    cells = spark.createDataFrame([(f, v, y, n, sizes[f, y]) for (f, y, v), n in counts.items()], "f string, v double, _y int, n bigint, c bigint")
+    for block_rows in (4, 50_000):
+        found = neighbours._radii(cells, 3, block_rows)
+        assert "array_sort" not in found._jdf.queryExecution().toString()
+        rows = found.collect()
+        assert len(rows) == len(counts)
+        for r in rows:
+            distances = sorted(abs(v - r.v) for (f, y, v), n in counts.items() if (f, y) == (r.f, r._y) for _ in range(n - (v == r.v)))
+            radius = distances[min(3, len(distances)) - 1]
+            assert r.r == radius and r.s == (r.n if radius == 0 else 1 + sum(d < radius for d in distances))
