@@ -121,3 +121,34 @@ def test_directional_program_takes_ports_from_the_text_alone(spark):
     defaults = with_packet_features(cleaning.clean_packets_lenient(raw)).filter("Protocol = 'DHCP'")
     assert defaults.filter("Source_Port = 67 OR Source_Port = 68").count() == 3  # the other program fills in the protocol's ports
     assert capture_study.directional_capture(raw.limit(0)).count() == 0
+
+
+def test_flow_table_moves_the_packets_of_small_keys_once(spark, folder):
+    rows = [packet(i, i * 0.5, *((A, B, 5, 6) if i % 3 else (B, A, 6, 5)), length=40 + i) for i in range(40)]
+    frame(spark, rows).write.mode("overwrite").parquet(folder)
+    plan = FL.flow37(spark.read.parquet(folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("wide", [0, 3, 7, 10**6])
+def test_small_and_busy_keys_give_the_same_flows(spark, wide):
+    random = np.random.default_rng(7)
+    rows = []
+    for i in range(160):
+        host, port = int(random.integers(1, 4)), int(random.choice([7, 7, 7, 8, 9]))
+        ends = (A, f"10.0.1.{host}", 5, port) if random.random() < 0.5 else (f"10.0.1.{host}", A, port, 5)
+        rows.append(list(packet(i, float(random.integers(0, 900)), *ends, length=int(random.integers(40, 1500)), syn=i % 2)))
+    for i in range(0, 160, 9):
+        rows[i][1] = None  # no time
+    for i in range(0, 160, 11):
+        rows[i][7] = None  # no length
+    rows += [list(packet(900 + i, 50.0, None, A, 1, 2)) for i in range(4)]  # no source: its address becomes UNKNOWN
+    for row in rows[-2:]:
+        row[6] = None  # no protocol either
+    every = FlowOptions(wide_flow_packets=0)
+    want = {r.FlowID: r for r in FL.flow37(frame(spark, rows), every).collect()}
+    got = {r.FlowID: r for r in FL.flow37(frame(spark, rows).repartition(3), FlowOptions(wide_flow_packets=wide)).collect()}
+    assert set(got) == set(want) and len(got) > 20
+    for name, flow in want.items():
+        for mine, theirs in zip(got[name], flow, strict=True):
+            assert mine == (pytest.approx(theirs, rel=1e-9, nan_ok=True) if isinstance(theirs, float) else theirs)
