@@ -1,15 +1,13 @@
 """Density clustering (DBSCAN) over all rows, exact.
 
 * Identical points are folded into one point with a weight.
-* A micro-cell of width eps / sqrt(d) in all d columns has a diagonal of eps, so its points
-  are neighbours of one another without looking at pairs. A micro-cell whose weight reaches
-  the minimum is core as a whole.
-* Neighbours in other micro-cells are found by an equi-join on a grid of width eps over the
-  leading principal axes. A projection never lengthens a distance, so the adjacent grid cells
-  hold every true neighbour. Axes are added until no grid cell holds more than ``cell_limit``
-  points (or ``max_axes`` is reached). Pairs of adjacent occupied cells are found axis by axis,
-  so a point is copied once for each occupied cell beside it, not for each possible one. Pairs
-  that are apart on the axes already are dropped; the exact distance decides in the end.
+* Space is cut into regions by the middles of leading principal axes, until a region holds about ``BLOCK_POINTS`` points; one
+  that holds more is dealt into several blocks. Cuts come from some of the points, as those of a range partitioning do; they
+  decide where points are compared, not what comes out.
+* A tile compares a block with itself or with another one whose box is within eps. Of two blocks only the points within eps of
+  the other's box travel, so a point is copied once for each block near it, not for each grid cell or chunk.
+* Tiles keep no table of all pairs. A point with enough weight around it within a tile is core, and core points only need to
+  be linked to their group; what is stored are these links and the few pairs of each point that is not yet known as core.
 * Clusters are connected components by minimum-label propagation with pointer jumping; each
   round is checkpointed.
 """
@@ -17,17 +15,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from flowquarry.operators import blocks
 from flowquarry.operators.ordered import numbered
-from flowquarry.session import cut_lineage
+from flowquarry.session import cut_lineage, drop_scratch, scratch_path
 
-
-#: Points of a grid cell that are compared at once, and pairs of points for a task.
-CHUNK_POINTS, TASK_PAIRS, MOST_TASKS = 256, 2_000_000, 10_000
+#: Points that are compared at once, points of a block, points that cuts are chosen from, and most tasks for the tiles.
+CHUNK_POINTS, BLOCK_POINTS, CUT_POINTS, MOST_TASKS = 256, 65_536, 50_000, 10_000
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,11 +54,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(left: str, right: str) -> Column:
-    """Squared distance of two coordinate arrays."""
-    return F.aggregate(F.zip_with(left, right, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, term: total + term)
-
-
 def adjacent_cells(cells: DataFrame, axes: int) -> DataFrame:
     """Pairs (``_g``, ``cell``) of occupied grid cells that differ by at most one step on each axis, every unordered pair once."""
     steps = F.explode(F.array(*[F.lit(v).cast("bigint") for v in (-1, 0, 1)]))
@@ -75,82 +70,157 @@ def adjacent_cells(cells: DataFrame, axes: int) -> DataFrame:
     return pairs
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, width)
+
+
+def _folded(plain: DataFrame, key: str, turn: np.ndarray, tree: list[tuple]) -> DataFrame:
+    """The distinct points: weight, least key, coordinates as bytes, and region."""
+    d, axes = len(turn), max(1, max(n[0] for n in tree) + 1)
+    found = plain.groupBy("_x").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("w"))
+    found = found.select(F.monotonically_increasing_id().alias("id"), "w", "_first", *_marks(), "_x")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.ascontiguousarray(batch.column("_x").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d)
+            offsets = pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * d))
+            plain = pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(x)])
+            region = pa.array(blocks.region_of(tree, x @ turn[:, :axes]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], plain, region], names=[*batch.schema.names[:-1], "x", "region"])
+
+    return found.mapInArrow(deal, StructType([*found.schema.fields[:-1], StructField("x", BinaryType()), StructField("region", IntegerType())]))
+
+
+def _marks() -> list:
+    """Two differently seeded hashes that stand for the coordinates."""
+    return [F.xxhash64(F.lit(seed), F.col("_x")).alias(f"_m{seed}") for seed in (1, 2)]
+
+
+def _boxes(points: DataFrame, turn: np.ndarray) -> dict[int, tuple]:
+    """Points, least and greatest rotated coordinates of each region."""
+    d = len(turn)
+
+    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, region = _matrix(batch.column("x"), d) @ turn, batch.column("region").to_numpy()
+            for r in np.unique(region):
+                inside = at[region == r]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(d, r), pa.int32()), pa.array(np.arange(d), pa.int32()), pa.array(np.full(d, len(inside)), pa.int64()),
+                                                  pa.array(inside.min(axis=0)), pa.array(inside.max(axis=0))], names=["region", "axis", "n", "low", "high"])
+
+    found = points.select("region", "x").mapInArrow(extent, "region int, axis int, n long, low double, high double")
+    boxes: dict[int, tuple] = {}
+    for r in sorted(found.groupBy("region", "axis").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()):
+        boxes.setdefault(r["region"], (r["n"], [], []))[1].append(r["low"])
+        boxes[r["region"]][2].append(r["high"])
+    return {r: (n, np.array(low), np.array(high)) for r, (n, low, high) in boxes.items()}
+
+
+def _tiles(points: DataFrame, turn: np.ndarray, boxes: dict[int, tuple], eps: float, block_points: int) -> tuple[DataFrame, int]:
+    """(tile, side, id, w, x): every point in the tile of its block, and in one for each other block it is within eps of."""
+    d = len(turn)
+    parts = {r: math.ceil(n / block_points) for r, (n, _, _) in boxes.items()}
+    every = [(r, k) for r in boxes for k in range(parts[r])]
+    # per block: the tile, the side it has there, and the box its points have to be near; None for all of them
+    goes: dict[tuple, list] = {b: [] for b in every}
+    low, high = (np.array([boxes[r][side] for r, _ in every]).reshape(len(every), d) for side in (1, 2))
+    tiles = 0
+    for i, (r, k) in enumerate(every):
+        goes[r, k].append((tiles, 0, None))
+        tiles += 1
+        for j in (np.flatnonzero(blocks.box_gap(low[i], high[i], low[i + 1:], high[i + 1:]) <= blocks.reach(eps)) + i + 1).tolist():
+            goes[r, k].append((tiles, 0, every[j][0]))
+            goes[every[j]].append((tiles, 1, r))
+            tiles += 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, region = _matrix(batch.column("x"), d) @ turn, batch.column("region").to_numpy()
+            ids = batch.column("id").to_numpy()
+            for r in np.unique(region).tolist():
+                for k in range(parts[r]):
+                    inside = np.flatnonzero((region == r) & ((ids ^ (ids >> 33)) % parts[r] == k))
+                    gaps: dict[int, np.ndarray] = {}
+                    for tile, side, other in goes[r, k]:
+                        chosen = inside
+                        if other is not None:
+                            if other not in gaps:
+                                gaps[other] = blocks.box_gap(at[inside], at[inside], boxes[other][1], boxes[other][2]) <= blocks.reach(eps)
+                            chosen = inside[gaps[other]]
+                        if len(chosen):
+                            some = batch.take(pa.array(chosen))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), tile), pa.int32()), pa.array(np.full(len(chosen), side), pa.int32()),
+                                                              some.column("id"), some.column("w"), some.column("x")], names=["tile", "side", "id", "w", "x"])
+
+    return points.select("id", "w", "x", "region").mapInArrow(deal, "tile int, side int, id long, w long, x binary"), tiles
+
+
+def _compared(turn: np.ndarray, eps: float, min_points: int, most: int):
+    """Links and pairs of a tile as (a, b, wa, wb); b is null where wb is the weight found around a point that has enough."""
+    d = len(turn)
+
+    def compare(tile: pa.Table) -> pa.Table:
+        x = np.concatenate([_matrix(chunk, d) for chunk in tile.column("x").chunks])
+        side, ids, weight = (tile.column(c).to_numpy() for c in ("side", "id", "w"))
+        sides = [np.flatnonzero(side == s) for s in (0, 1) if (side == s).any()]
+        if len(sides) == 1 and side[0] != 0 or not len(x):
+            sides = [np.zeros(0, dtype=np.int64)]
+        links, pairs, seen = blocks.compare(x, x @ turn, weight, sides, eps, min_points, most)
+        a, b = np.concatenate([links, pairs], axis=1)
+        known = np.flatnonzero(seen >= min_points)
+        none = pa.nulls(len(known), pa.int64())
+        return pa.table({
+            "a": np.concatenate([ids[a], ids[known]]), "b": pa.concat_arrays([pa.array(ids[b], pa.int64()), none]),
+            "wa": np.concatenate([weight[a], weight[known]]), "wb": np.concatenate([weight[b], (seen - weight)[known]]),
+        })
+
+    return compare
+
+
 def dbscan(df: DataFrame, cols: list[str], key: str, eps: float = 0.8, min_points: int = 5, name: str = "DBSCAN_Cluster",
            max_axes: int = 6, cell_limit: int = 2_000) -> DataFrame:
     """Cluster number per row, -1 for noise. Border points go to their lowest-numbered cluster.
 
-    Coordinates travel as one array column: with one column per coordinate the optimizer
-    derives far too many equivalent predicates for the joins below.
+    Blocks are cut along the leading ``max_axes`` principal axes; at most ``cell_limit`` and ``CHUNK_POINTS`` points are compared
+    with as many at once. Coordinates travel as one column of bytes.
     """
-    d = len(cols)
+    spark = df.sparkSession
     plain = df.withColumn("_x", F.array(*[F.col(f"`{c}`").cast("double") + 0.0 for c in cols]))
-    folded = plain.groupBy("_x").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("w"))
-    points = cut_lineage(numbered(folded, [F.col("_first")], "id"))
-
-    matrix = points.withColumn("_v", array_to_vector("_x"))
-    projected = PCA(k=min(max_axes, d), inputCol="_v", outputCol="_p").fit(matrix).transform(matrix)
-    side = eps / math.sqrt(d) * (1.0 - 1e-9)
-    placed = cut_lineage(projected.select(
-        "id", "w", "_x", F.transform("_x", lambda c: F.floor(c / side)).alias("micro"),
-        vector_to_array("_p").alias("_p"), F.transform(vector_to_array("_p"), lambda c: F.floor(c / eps)).alias("_g"),
-    ))
-
-    # Axes are added while some grid cell is crowded; one count per step.
-    axes = 1
-    while axes < min(max_axes, d):
-        crowd = placed.groupBy(F.slice("_g", 1, axes).alias("c")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if crowd is None or crowd <= cell_limit:
-            break
-        axes += 1
-
-    micro_weight = placed.groupBy("micro").agg(F.sum("w").alias("_mw"))
-    members = cut_lineage(placed.join(micro_weight, "micro").withColumn("_g", F.slice("_g", 1, axes)))
-
-    near_axes = range(min(max_axes, d))
-    # A crowded cell is compared in chunks, and the tasks are as many as the pairs of points need, however few bytes they are.
-    sizes = members.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
-    cell_pairs = adjacent_cells(members.select("_g"), axes).join(sizes.withColumnRenamed("n", "_here"), "_g").join(
-        sizes.select(F.col("_g").alias("cell"), "n"), "cell").withColumn("_chunks", F.ceil(F.col("n") / CHUNK_POINTS).cast("int"))
-    cell_pairs = cut_lineage(cell_pairs)
-    compared = cell_pairs.agg(F.sum(F.col("_here").cast("double") * F.col("n"))).first()[0] or 0.0
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, math.ceil(compared / TASK_PAIRS)))
-    left = members.join(cell_pairs, "_g").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select(
-        F.col("id").alias("a"), F.col("micro").alias("micro_a"), F.col("w").alias("wa"), F.col("_x").alias("xa"), F.col("_p").alias("pa"),
-        "cell", "_chunk", (F.col("_g") == F.col("cell")).alias("same_cell"),
-    ).repartition(tasks, "cell", "_chunk")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK_POINTS)).cast("int")
-    right = members.join(sizes, "_g").select(
-        F.col("id").alias("b"), F.col("micro").alias("micro_b"), F.col("w").alias("wb"), F.col("_x").alias("xb"), F.col("_p").alias("pb"),
-        F.col("_g").alias("cell"), chunk.alias("_chunk")).repartition(tasks, "cell", "_chunk")
-    # The distance on the axes, compiled; a little more than eps, because projections are rounded.
-    shadow = sum(((F.get("pa", i) - F.get("pb", i)) * (F.get("pa", i) - F.get("pb", i)) for i in near_axes), F.lit(0.0))
-    candidate = (F.col("micro_a") != F.col("micro_b")) & (~F.col("same_cell") | (F.col("a") < F.col("b")))
-    near = cut_lineage(left.join(right, ["cell", "_chunk"]).filter(
-        F.when(candidate & (shadow <= eps * eps * (1 + 1e-6)), _apart("xa", "xb") <= eps * eps)
-    ).select("a", "b", "wa", "wb"))
-
-    outside = near.select(F.col("a").alias("id"), F.col("wb").alias("n")).unionByName(near.select(F.col("b").alias("id"), F.col("wa").alias("n")))
+    rows = df.count()
+    some = plain.select("_x").sample(min(1.0, CUT_POINTS / max(1, rows)), 42).toPandas()["_x"]
+    sample = np.array([list(x) for x in some], dtype=float).reshape(len(some), len(cols))
+    turn = blocks.rotation(sample)
+    tree = blocks.cut_tree(sample @ turn[:, :max_axes], BLOCK_POINTS * min(1.0, CUT_POINTS / max(1, rows)))
+
+    path = scratch_path(spark, "points")
+    _folded(plain, key, turn, tree).write.parquet(path)
+    points = spark.read.parquet(path)
+    tiles, n = _tiles(points, turn, _boxes(points, turn), eps, BLOCK_POINTS)
+    tasks = max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, n))
+    compare = _compared(turn, eps, min_points, max(1, min(cell_limit, CHUNK_POINTS)))
+    near = cut_lineage(tiles.repartition(tasks, "tile").groupBy("tile").applyInArrow(compare, "a long, b long, wa long, wb long"))
+
+    pairs = near.filter(F.col("b").isNotNull())
+    outside = near.select(F.col("a").alias("id"), F.col("wb").alias("n")).unionByName(pairs.select(F.col("b").alias("id"), F.col("wa").alias("n")))
     outside = outside.groupBy("id").agg(F.sum("n").alias("_out"))
-    judged = cut_lineage(members.select("id", "micro", "_mw").join(outside, "id", "left").select(
-        "id", "micro", (F.col("_mw") + F.coalesce("_out", F.lit(0)) >= min_points).alias("core")
-    ))
+    judged = cut_lineage(points.select("id", "w", "_first", "_m1", "_m2").join(outside, "id", "left").select(
+        "id", "_first", "_m1", "_m2", (F.col("w") + F.coalesce("_out", F.lit(0)) >= min_points).alias("core")))
+    drop_scratch(spark, path)
 
-    core = judged.filter("core").select("id", "micro")
-    leaders = core.groupBy("micro").agg(F.min("id").alias("lead"))
-    inner = core.join(leaders, "micro").filter(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    crossing = near.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
-    labels = connected_components(core.select("id"), inner.unionByName(crossing.select("a", "b")))
+    core = judged.filter("core").select("id")
+    crossing = pairs.select("a", "b").join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
+    labels = connected_components(core, crossing)
 
     # Clusters get 0, 1, 2, ... by their smallest member.
-    clusters = numbered(labels.select("component").distinct(), [F.col("component")], "_c")
+    members = labels.join(judged.select("id", "_first"), "id").groupBy("component").agg(
+        F.max(F.col("_first").isNull()).alias("_open"), F.min("_first").alias("_first"))
+    clusters = numbered(members, [F.desc("_open"), F.col("_first"), F.col("component")], "_c").select("component", "_c")
     core_cluster = cut_lineage(labels.join(clusters, "component").select("id", (F.col("_c") - 1).cast("int").alias("cluster")))
 
-    loose = judged.filter(~F.col("core"))
-    touching = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_pair = touching.join(core_cluster.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("c1"))
-    by_cell = core_cluster.join(core, "id").groupBy("micro").agg(F.min("cluster").alias("c2"))
-    border = loose.join(by_pair, "id", "left").join(by_cell, "micro", "left").select(
-        "id", F.coalesce(F.least("c1", "c2"), F.lit(-1)).alias("cluster")
-    )
+    loose = judged.filter(~F.col("core")).select("id")
+    touching = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(loose.withColumnRenamed("id", "a"), "a", "left_semi")
+    by_pair = touching.join(core_cluster.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
+    border = loose.join(by_pair, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     point_cluster = core_cluster.unionByName(border)
-    return plain.join(points.join(point_cluster, "id").select("_x", F.col("cluster").alias(name)), "_x").drop("_x")
+    found = judged.select("id", "_m1", "_m2").join(point_cluster, "id").select("_m1", "_m2", F.col("cluster").alias(name))
+    return plain.withColumns({f"_m{seed}": mark for seed, mark in zip((1, 2), _marks())}).drop("_x").join(found, ["_m1", "_m2"]).drop("_m1", "_m2")
