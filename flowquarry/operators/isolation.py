@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from flowquarry.operators.quantiles import percentile_row
-from flowquarry.session import cut_lineage
+from flowquarry.session import cut_lineage, store_scratch
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
@@ -115,7 +115,7 @@ def isolation_forest(df: DataFrame, cols: list[str], keys: list[str], trees: int
     """-1 for the ``contamination`` share with the highest scores, else 1."""
     nodes = isolation_trees(df, cols, keys, trees, rows, seed)
     sample_rows = min(rows, df.count())
-    scored = cut_lineage(isolation_scores(df, nodes, cols, max(2, sample_rows), "_score"))
+    scored = store_scratch(isolation_scores(df, nodes, cols, max(2, sample_rows), "_score"), "isolation")
     cut = percentile_row(scored, {"s": -F.col("_score")}, [contamination])["s"][0]
     verdict = F.lit(1) if cut is None else F.when(-F.col("_score") < cut, -1).otherwise(1)
     return scored.withColumn(name, verdict).drop("_score")
@@ -169,6 +169,6 @@ def one_class_svm(df: DataFrame, cols: list[str], keys: list[str], nu: float = 0
         for batch in batches:
             yield batch.assign(_score=lifted(batch) @ w)
 
-    scored = cut_lineage(df.mapInPandas(add_score, _with_double(df, "_score")))
+    scored = store_scratch(df.mapInPandas(add_score, _with_double(df, "_score")), "svm")
     offset = percentile_row(scored, {"s": F.col("_score")}, [nu])["s"][0]
     return scored.withColumn(name, F.when(F.col("_score") < offset, -1).otherwise(1)).drop("_score")
