@@ -1,7 +1,7 @@
 """A level of the trees needs the node of each instance, not the trees above; a capture is made into flows once."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from flowquarry.operators import forest
 from flowquarry.plans import capture_study
@@ -27,6 +27,14 @@ def test_forest_keeps_the_node_of_each_instance_and_grows_the_same_trees(rows, m
     assert model.stages[-1].toDebugString.split("\n")[1:] == plain.stages[-1].toDebugString.split("\n")[1:]
 
 
+def test_forest_scores_after_something_was_observed(spark, rows):
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 3_000
+    model = forest.train_forest(rows, ["a", "b", "c"], trees=3, depth=4)
+    assert not model.stages[-1].hasSummary and forest.score(model, rows, ["a", "b", "c"]).checkpoint().count() == 3_000
+
+
 def test_a_capture_is_made_into_flows_once(spark, monkeypatch):
     packets = spark.createDataFrame(
         [(i, i * 10**9, "a", f"b{i % 20}", 1, 2, "TCP", 100 + i, i % 3, 0, 1) for i in range(200)],
